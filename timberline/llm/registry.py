@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .shared import table
+from .best_fit_packing import pack_documents
+from .secret_scan import find_secrets, spans_text
+from .shared import shared_folder, table
 from .substring_dedup import remove_repeats
+from .token_files import ids_crc32, read_tokens, write_tokens
 
 
 def op1_substring_dedup(spark, sf_dir):
@@ -13,8 +16,26 @@ def op1_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op2_secret_scan(spark, sf_dir):
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    base = F.sha2(spans_text(F.col("spans"), ("assign", "access", "hex")), 256)
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), base.alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), count("guess").alias("n_guess"))
+
+
+def op3_token_files(spark, sf_dir):
+    path = shared_folder(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return ids_crc32(read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+def op8_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    found = (op1_substring_dedup, op2_secret_scan, op3_token_files, op8_best_fit_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
