@@ -20,7 +20,7 @@ _RANK = {w: math.log10(i + 2) for i, w in reversed([*enumerate(COMMON)])}
 _LONGEST = max(map(len, COMMON))
 _LEET = str.maketrans("4@310$5!7", "aaeiossit")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-_SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\;',./")
+_SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)")
 _BRUTE = 1.0  # log10 of the guesses for a character that nothing explains
 
