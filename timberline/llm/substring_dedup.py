@@ -28,8 +28,8 @@ from . import packed
 from .shared import shuffle_partitions
 from .wordhash import U, pieces, windows
 
-#: Probes that a task holds before it sends them: about 100 MB.
-HELD = 3_000_000
+#: Probes that a task holds before it sends them: some 100 MB with what sorting takes.
+HELD = 1_200_000
 
 
 def _first_of_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
