@@ -85,8 +85,12 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit_labels(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> LabelModel:
-    """Expectation maximisation from first posteriors; weights from the correlations that the labels leave unexplained."""
+def fit_labels(votes: np.ndarray, start: np.ndarray, anchor: tuple[float, float] = (0.95, 0.02), rounds: int = 30) -> LabelModel:
+    """Expectation maximisation from first posteriors; weights from the correlations that the labels leave unexplained.
+
+    The last voter is the annotator, whose chances to say toxic of toxic and of clean texts are given: voters that all
+    repeat one another could not tell their own errors from the labels'.
+    """
     n, m = votes.shape
     p, weight = start.astype(float), np.full(m, 1 / np.sqrt(m))
     for _ in range(rounds):
@@ -95,11 +99,13 @@ def fit_labels(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> LabelM
             said = (votes == v).astype(float)
             accuracy[:, 1, v + 1] = (p @ said + 0.1) / (p.sum() + 0.3)
             accuracy[:, 0, v + 1] = ((1 - p) @ said + 0.1) / ((1 - p).sum() + 0.3)
+        accuracy[-1] = [[1 - anchor[1], 1e-6, anchor[1]], [1 - anchor[0], 1e-6, anchor[0]]]
         prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
         expected = [accuracy[:, y, 2] - accuracy[:, y, 0] for y in (0, 1)]
         rest = votes - (np.outer(1 - p, expected[0]) + np.outer(p, expected[1]))
         spread = np.sqrt((rest**2).mean(0)) + 1e-9
         related = np.abs((rest.T @ rest) / n / np.outer(spread, spread))
+        related[-1], related[:, -1] = 0, 0
         weight = 1 / np.where(related > 0.1, related, 0).sum(1).clip(1)
         new = LabelModel(prior, accuracy, weight).posterior(votes)
         if np.abs(new - p).max() < 1e-6:
