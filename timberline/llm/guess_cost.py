@@ -33,17 +33,27 @@ def _neighbours() -> set[tuple[str, str]]:
 _NEXT = _neighbours()
 
 
-@lru_cache(4096)
-def guesses_log10(value: str, most: int = 256) -> float:
-    """log10 of the guesses for the cheapest segmentation. Past `most` characters each adds the brute-force cost: a
-    value so long is beyond guessing already."""
-    if len(value) > most:
-        return guesses_log10(value[:most]) + _BRUTE * (len(value) - most)
+#: Repeated units are this long at most.
+_UNIT = 16
+
+
+def _cheapest(value: str) -> float:
     n, low = len(value), value.lower()
+    if len(low) != n:  # a few letters grow in lower case, and places must agree
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain, keys = low.translate(_LEET), value.translate(_SHIFTED).lower()
+    if len(keys) != n:
+        keys = low.translate(_SHIFTED)
     best = [0.0] + [math.inf] * n
-    for i in range(n):
-        here = best[i]
+    ends = [0] * (_UNIT + 1)  # by width: up to here each character equals the one a width on
+    two = three = math.inf  # keyboard walks that end here: of two keys, and of three or more
+
+    for i in range(n + 1):
+        walks = i > 1 and (keys[i - 2], keys[i - 1]) in _NEXT
+        two, three = (best[i - 2] + 2.35, min(two, three) + 0.35) if walks else (math.inf, math.inf)
+        here = best[i] = min(best[i], three)
+        if i == n:
+            break
 
         def reach(j: int, cost: float, base: float = here) -> None:
             if base + cost < best[j]:
@@ -57,18 +67,13 @@ def guesses_log10(value: str, most: int = 256) -> float:
                     reach(j, max(0.3, cost) + extra + (0 if mixed.islower() or not mixed.isalpha() else 0.3 if mixed.istitle() or mixed.isupper() else 1.0))
         if (m := _DATE.match(value, i)) and m.end() - i >= 4:
             reach(m.end(), 2.1 if m.end() - i == 4 else 4.6)
-        for width in range(1, min(16, (n - i) // 2) + 1):
-            unit, j = value[i : i + width], i + width
-            while value.startswith(unit, j):
-                j += width
-            if j - i >= max(3, 2 * width):
-                times = (j - i) // width
-                reach(j, _BRUTE * width + math.log10(times))
-        j = i + 1
-        while j < n and (keys[j - 1], keys[j]) in _NEXT:
-            j += 1
-            if j - i >= 3:
-                reach(j, 2.0 + 0.35 * (j - i - 1))
+        for width in range(1, min(_UNIT, n - i - 1) + 1):
+            to = max(ends[width], i)
+            while to + width < n and value[to] == value[to + width]:
+                to += 1
+            ends[width], times = to, (to - i) // width + 1
+            if times >= 2 and times * width >= 3:
+                reach(i + times * width, _BRUTE * width + math.log10(times))
         for step in (1, -1):
             j = i + 1
             while j < n and ord(value[j]) - ord(value[j - 1]) == step:
@@ -76,3 +81,12 @@ def guesses_log10(value: str, most: int = 256) -> float:
                 if j - i >= 3:
                     reach(j, 1.2 + math.log10(j - i))
     return best[n]
+
+
+_remembered = lru_cache(4096)(_cheapest)
+
+
+def guesses_log10(value: str) -> float:
+    """log10 of the guesses for the cheapest segmentation of the whole value; 0 for an empty one. The time grows with
+    the length (and with the square of runs like abcd, which alphabets bound); costs of short values are remembered."""
+    return _remembered(value) if len(value) <= 256 else _cheapest(value)
