@@ -183,6 +183,12 @@ def test_op6_learns(spark):
     assert toxicity.toxicity(docs_of(spark, rows), none).count() == len(rows)
 
 
+def test_upper_share_reads_whole_texts():
+    for text in ("", "123 !", "aB Éß ǅ Ж", "a" * 30_000 + "B" * 10_000):
+        letters = sum(map(str.isalpha, text)) or 1
+        assert toxicity.upper_share(text) == sum(map(str.isupper, text)) / letters
+
+
 def test_op7_substitutions(spark):
     rng = random.Random(4)
     word = lambda: f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}"

@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,24 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point, whether it is a letter and whether it is an upper-case one."""
+    every = "".join(map(chr, range(0x110000)))
+    return tuple(np.fromiter(map(kind, every), bool, len(every)) for kind in (str.isalpha, str.isupper))
+
+
+def upper_share(text: str) -> float:
+    """Upper-case characters to letters, in the whole text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter, upper = _letters()
+    return np.count_nonzero(upper[codes]) / (np.count_nonzero(letter[codes]) or 1)
+
+
 def patterns(text: str, tokens: list[str], insults: int) -> list[float]:
     """Numbers that do not come from single words."""
     n = max(1, len(tokens))
-    letters = sum(map(str.isalpha, text[:20000])) or 1
-    return [insults, insults / n, np.log1p(insults), text.count("!") / max(1, len(text)) * 100, sum(map(str.isupper, text[:20000])) / letters]
+    return [insults, insults / n, np.log1p(insults), text.count("!") / max(1, len(text)) * 100, upper_share(text)]
 
 
 def _votes(text: str, lexicon: dict[str, int]) -> tuple[list[int], list[float]]:
