@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: What parts words: 0x20 and 0x09-0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -41,18 +43,20 @@ def measures(docs: DataFrame, id_column: str, text_column: str, host_column: str
     """id, host, content (hash of the text) and the counts of each text."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).alias("id"), F.col(host_column).alias("host"), text.alias("text"))
-    rows = rows.select("id", "host", "text", F.xxhash64("text").alias("content"), words_of(F.col("text")).alias("words"))
-    rows = rows.withColumn("n", F.size("words"))
+    # the words are bound once inside the expression: a filter on these counts that the optimizer moves below them would
+    # otherwise split the text again for every word
+    counts = _let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w, F.size(w)).alias("repeated")))
+    rows = rows.select("id", "host", "text", F.xxhash64("text").alias("content"), counts.alias("counts"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
     return rows.select(
         "id",
         "host",
         "content",
-        F.col("n").cast("long").alias("n_words"),
+        F.col("counts")["n"].alias("n_words"),
         F.length(F.translate("text", _SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("words"), F.col("n")).alias("n_repeat_words"),
+        F.col("counts")["repeated"].alias("n_repeat_words"),
     )
 
 
@@ -104,9 +108,11 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def keep_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
-    """The rows of docs whose document quality() keeps, with all their columns and whole texts."""
+    """The rows of docs whose document quality() keeps, with all their columns and whole texts. The verdicts are written
+    first, so that each text is measured once."""
     out = quality(docs, id_column, text_column, host_column, **limits)
-    good = out.filter("kept").select(F.col(id_column).alias("good_id"), F.col("content").alias("good_content")).distinct()
+    verdicts = written(out.select(F.col(id_column).alias("good_id"), F.col("content").alias("good_content"), "kept"), "verdicts")
+    good = verdicts.filter("kept").select("good_id", "good_content").distinct()
     own = F.xxhash64(F.coalesce(docs[text_column].cast("string"), F.lit("")))
     return docs.join(good, docs[id_column].eqNullSafe(good["good_id"]) & (own == good["good_content"]), "left_semi")
 
