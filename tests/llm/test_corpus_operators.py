@@ -133,6 +133,29 @@ def test_op4_edges(spark, texts):
     assert quality_rules.quality(empty(spark)).count() == 0 and quality_rules.keep_quality(empty(spark)).count() == 0
 
 
+def test_op4_common_lines_leave_the_text(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    body = lambda: [" ".join(word() for _ in range(12)) for _ in range(8)]
+    shared = ["Read  our terms of use", "", "\tall rights reserved to the host "]
+    rows = []
+    for k in range(40):
+        lines = body()
+        for s in shared if k < 30 else []:
+            lines.insert(rng.randint(0, len(lines)), s)
+        rows.append((k, "\n".join(lines) + "\n" * (k % 3)))
+    rows += [(3, rows[4][1]), (None, rows[5][1]), (None, None), rows[6]]
+    held = defaultdict(set)
+    normal = lambda x: " ".join(x.lower().split())
+    for _, t in rows:
+        for x in (t or "").split("\n"):
+            held[normal(x)].add(t)
+    want = sorted((str(i), "\n".join(x for x in t.split("\n") if not normal(x) or len(held[normal(x)]) <= 20)) for i, t in rows if t)
+    got = quality_rules.keep_quality(docs_of(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == want and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert not any("terms" in r["text"] or "rights" in r["text"] for r in got)
+
+
 def _grams(t):
     w = (t or "").encode().split()
     return frozenset() if not w else frozenset([tuple(w)]) if len(w) < 5 else frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))

@@ -95,26 +95,51 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """
     rows = measures(docs, id_column, text_column, host_column)
     lines = lines_of(docs, id_column, text_column, host_column)
-    common = common_lines(lines, least_documents, share)
+    lost = lost_lines(lines, common_lines(lines, least_documents, share))
+    return _verdicts(rows, lost, least_words, least_left, id_column).drop("gone")
+
+
+def lost_lines(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """lost_id, lost_content, lost (words in common lines) and gone (places of these lines, in order)."""
     met = lines.join(common, lines["host"].eqNullSafe(common["host"]) & (lines["line"] == common["line"]), "left_semi")
     # equal rows (id and text) have equal lines: each line counts once
-    lost = met.groupBy("id", "content", "at").agg(F.first("n").alias("n")).groupBy("id", "content").agg(F.sum("n").alias("lost"))
-    lost = lost.select(F.col("id").alias("lost_id"), F.col("content").alias("lost_content"), "lost")
+    lost = met.groupBy("id", "content", "at").agg(F.first("n").alias("n")).groupBy("id", "content").agg(F.sum("n").alias("lost"), F.sort_array(F.collect_list("at")).alias("gone"))
+    return lost.select(F.col("id").alias("lost_id"), F.col("content").alias("lost_content"), "lost", "gone")
+
+
+def _verdicts(rows: DataFrame, lost: DataFrame, least_words: int, least_left: float, id_column: str) -> DataFrame:
+    """The columns of quality(), and gone."""
     out = rows.join(lost, rows["id"].eqNullSafe(lost["lost_id"]) & (rows["content"] == lost["lost_content"]), "left")
     out = out.withColumn("n_common_words", F.coalesce("lost", F.lit(0).cast("long")))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.col("n_words") - F.col("n_common_words") >= least_left * F.col("n_words"))
-    return out.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_common_words", kept.alias("kept"), "content")
+    return out.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_common_words", kept.alias("kept"), "content", "gone")
 
 
-def keep_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
-    """The rows of docs whose document quality() keeps, with all their columns and whole texts. The verdicts are written
-    first, so that each text is measured once."""
-    out = quality(docs, id_column, text_column, host_column, **limits)
-    verdicts = written(out.select(F.col(id_column).alias("good_id"), F.col("content").alias("good_content"), "kept"), "verdicts")
-    good = verdicts.filter("kept").select("good_id", "good_content").distinct()
+def without_lines(text: Column, gone: Column) -> Column:
+    """text without the lines at the places in gone, which are in order: what lies between them is joined again."""
+    ends = lambda lines: F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    between = lambda lines, e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda k: F.slice(lines, F.get(e, k - 1) + 2, F.get(e, k) - F.get(e, k - 1) - 1))
+    left = _let(F.split(text, "\n"), lambda lines: _let(ends(lines), lambda e: F.array_join(F.flatten(between(lines, e)), "\n")))
+    return F.when(F.size(gone) > 0, left).otherwise(text)
+
+
+def keep_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", chars_column: str = "n_chars", least_documents: int = 20, share: float = 0.02, least_words: int = 50, least_left: float = 0.3) -> DataFrame:
+    """The rows of docs whose document quality() keeps, with all their columns, and their texts without the common lines
+    of their host; chars_column, where there is one, follows the text. The verdicts are written first, so that each text
+    is measured once."""
+    rows = measures(docs, id_column, text_column, host_column)
+    lines = lines_of(docs, id_column, text_column, host_column)
+    lost = lost_lines(lines, common_lines(lines, least_documents, share))
+    out = _verdicts(rows, lost, least_words, least_left, id_column)
+    verdicts = written(out.select(F.col(id_column).alias("good_id"), F.col("content").alias("good_content"), "kept", "gone"), "verdicts")
+    good = verdicts.filter("kept").dropDuplicates(["good_id", "good_content"]).withColumnRenamed("gone", "good_gone").drop("kept")
     own = F.xxhash64(F.coalesce(docs[text_column].cast("string"), F.lit("")))
-    return docs.join(good, docs[id_column].eqNullSafe(good["good_id"]) & (own == good["good_content"]), "left_semi")
+    met = docs.join(good, docs[id_column].eqNullSafe(good["good_id"]) & (own == good["good_content"]))
+    left = without_lines(docs[text_column], good["good_gone"])
+    chars = {chars_column: F.length(left).cast(docs.schema[chars_column].dataType)} if chars_column in docs.columns else {}
+    new = {text_column: left} | chars
+    return met.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
 
 
 #: DuckDB SQL for quality() with its defaults.
