@@ -156,6 +156,24 @@ def test_op4_common_lines_leave_the_text(spark):
     assert not any("terms" in r["text"] or "rights" in r["text"] for r in got)
 
 
+def test_op4_near_copies_do_not_make_their_lines_common(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    body = lambda: [[word() for _ in range(12)] for _ in range(15)]
+    text = lambda lines: "\n".join(map(" ".join, lines))
+    base, rows = body(), []
+    for k in range(60):
+        copy = [list(x) for x in base]
+        for _ in range(2):
+            copy[rng.randint(0, 14)][rng.randint(0, 11)] = f"changed{rng.randint(0, 10**6)}"
+        rows.append((k, text(copy)))
+    rows += [(100 + k, text([["all", "rights", "reserved"], *body()])) for k in range(40)]
+    assert not any(r["kept"] for r in quality_rules.quality(docs_of(spark, rows)).filter("doc_id < 60").collect())
+    got = {r["doc_id"]: r["text"] for r in quality_rules.keep_quality(docs_of(spark, rows)).collect()}
+    # the copies stay whole; the line of different documents still goes
+    assert got == {k: t.removeprefix("all rights reserved\n") for k, t in rows}
+
+
 def _grams(t):
     w = (t or "").encode().split()
     return frozenset() if not w else frozenset([tuple(w)]) if len(w) < 5 else frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .shared import written
 
 #: What parts words: 0x20 and 0x09-0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: Min-hashes of 5-word windows by which near copies are known: a pair that shares one of SKETCH / 2 bands of two meets,
+#: and is near if ALIKE agree. At a similarity of 0.8 a pair is missed with a chance of under 1 %; links go on from copy to copy.
+SKETCH, ALIKE = 32, 20
 
 
 def words_of(text: Column) -> Column:
@@ -83,6 +87,34 @@ def common_lines(lines: DataFrame, least_documents: int, share: float) -> DataFr
     return held.join(hosts, same).filter((F.col("held") > least_documents) & (F.col("held") > share * F.col("documents"))).select(held["host"], "line")
 
 
+def near_classes(docs: DataFrame, contents: DataFrame, text_column: str) -> DataFrame:
+    """(content, class) for the texts among contents that have near copies there: class is the same for all of them."""
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("content"), text.alias("text")).join(contents, "content", "left_semi")
+    grams = lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))))
+    hashes = texts.select("content", F.explode(_let(words_of(F.col("text")), grams)).alias("h"))
+    least = hashes.groupBy("content").agg(*(F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(SKETCH)))
+    bands = F.array(*(F.xxhash64(F.lit(k), f"m{k}", f"m{k + 1}") for k in range(0, SKETCH, 2)))
+    short = F.array(*(F.col(f"m{k}").bitwiseAND(0xFFFF).cast("int") for k in range(SKETCH)))
+    sketches = written(least.select("content", bands.alias("bands"), short.alias("sketch")), "sketches")
+    spread = sketches.select("content", "sketch", F.explode("bands").alias("band"))
+    first = spread.groupBy("band").agg(F.min(F.struct("content", "sketch")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", "first")
+    agree = F.size(F.filter(F.zip_with("sketch", F.col("first")["sketch"], lambda a, b: a == b), lambda x: x))
+    edges = spread.join(first, "band").filter(F.col("content") != F.col("first")["content"]).filter(agree >= ALIKE)
+    found = components(edges.select(F.col("content").alias("a"), F.col("first")["content"].alias("b")))
+    return found.select(F.col("node").alias("content"), F.col("root").alias("class"))
+
+
+def once_a_class(docs: DataFrame, lines: DataFrame, text_column: str, least_documents: int) -> DataFrame:
+    """host, line, content of lines, with the class of near copies in place of content. Classes are sought among the
+    texts that hold a line which over least_documents texts of a host hold; larger groups of copies are all there."""
+    once = lines.select("host", "line", "content").distinct()
+    often = once.groupBy("host", "line").agg(F.count("*").alias("held")).filter(F.col("held") > least_documents)
+    contents = once.join(often, once["host"].eqNullSafe(often["host"]) & (once["line"] == often["line"]), "left_semi").select("content").distinct()
+    classes = written(near_classes(docs, contents, text_column), "classes")
+    return once.join(classes, "content", "left").select("host", "line", F.coalesce("class", "content").alias("content"))
+
+
 def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", least_documents: int = 20, share: float = 0.02, least_words: int = 50, least_left: float = 0.3) -> DataFrame:
     """Counts and verdict for every row: id_column, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_common_words (words in lines that many documents of the host hold), kept.
@@ -125,12 +157,13 @@ def without_lines(text: Column, gone: Column) -> Column:
 
 
 def keep_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", chars_column: str = "n_chars", least_documents: int = 20, share: float = 0.02, least_words: int = 50, least_left: float = 0.3) -> DataFrame:
-    """The rows of docs whose document quality() keeps, with all their columns, and their texts without the common lines
+    """The rows of docs whose document the rules of quality() keep, with all their columns, and their texts without the common lines
     of their host; chars_column, where there is one, follows the text. The verdicts are written first, so that each text
-    is measured once."""
+    is measured once. Unlike in quality(), which counts as its SQL does, a class of near copies counts once where lines
+    and documents are counted: near copies, of which a later step keeps one, do not make their own lines common."""
     rows = measures(docs, id_column, text_column, host_column)
-    lines = lines_of(docs, id_column, text_column, host_column)
-    lost = lost_lines(lines, common_lines(lines, least_documents, share))
+    lines = written(lines_of(docs, id_column, text_column, host_column), "lines")
+    lost = lost_lines(lines, common_lines(once_a_class(docs, lines, text_column, least_documents), least_documents, share))
     out = _verdicts(rows, lost, least_words, least_left, id_column)
     verdicts = written(out.select(F.col(id_column).alias("good_id"), F.col("content").alias("good_content"), "kept", "gone"), "verdicts")
     good = verdicts.filter("kept").dropDuplicates(["good_id", "good_content"]).withColumnRenamed("gone", "good_gone").drop("kept")
