@@ -79,6 +79,25 @@ def test_op2_spans_and_costs(spark, texts):
     assert secret_scan.find_secrets(empty(spark)).count() == 0
 
 
+def test_op2_whole_values_and_short_ones(spark):
+    found = lambda text: [text[a:b] for a, k, b in secret_scan.all_spans(text) if k == 3]
+    # quoted values reach to their closing quote
+    assert found('pwd = "x7K,q9#Lm2vT!" x') == ["x7K,q9#Lm2vT!"] and found("passphrase: 'Zorn quilt,vapid;Mux'.") == ["Zorn quilt,vapid;Mux"]
+    # a value of which a fixed pattern holds a part
+    text = 'password = "aB3dE5gH7jK9$zQ!w2Xv8" end'
+    assert found(text) == ["aB3dE5gH7jK9$zQ!w2Xv8"] and found("?token=abcdefghijklmnop&user=bob") == []
+    rows = docs_of(spark, [(1, text), (2, "password: x7Kq9#Lm2"), (3, "pwd=x7Kq9#Lm, next")])
+    assert [r["text"] for r in secret_scan.redact_secrets(rows).sort("doc_id").collect()] == ['[secret]" end', "password: [secret]", "pwd=[secret], next"]
+    # random values of 8 and 9 characters, and plain words
+    rng = random.Random(5)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789#-_+=@"
+    for n in (8, 9):
+        values = ["k" + "".join(rng.choice(signs) for _ in range(n - 2)) + "k" for _ in range(300)]
+        assert sum(found(f"password: {v} x") == [v] for v in values) >= 290
+    for word in ("required", "whatever", "somewhere", "Something", "password1", "20240131", "aaaaaaaaa"):
+        assert found(f"password: {word} x") == [], word
+
+
 def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 

@@ -22,7 +22,13 @@ _LEET = str.maketrans("4@310$5!7", "aaeiossit")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)")
-_BRUTE = 1.0  # log10 of the guesses for a character that nothing explains
+_BRUTE = 1.15  # log10 of the guesses for a character that nothing explains
+_DIGIT = 1.0  # for a digit after a digit
+_SPOKEN = 0.8  # for a letter that words often have after the one before it
+_PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur "
+    "ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke".split()
+)
 
 
 def _neighbours() -> set[tuple[str, str]]:
@@ -59,7 +65,11 @@ def _cheapest(value: str) -> float:
             if base + cost < best[j]:
                 best[j] = base + cost
 
-        reach(i + 1, _BRUTE)
+        pair = i > 0 and value[i - 1 : i + 1]
+        if pair and pair.isdigit():
+            reach(i + 1, _DIGIT)
+        else:
+            reach(i + 1, _SPOKEN if pair and low[i - 1 : i + 1] in _PAIRS and (pair.islower() or pair.isupper() or pair.istitle()) else _BRUTE)
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             for spelled, extra in ((low[i:j], 0.0), (plain[i:j], 0.3)):
                 if (cost := _RANK.get(spelled)) is not None:

@@ -17,11 +17,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 characters or more; each match t
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
-#: What names a credential, wider than ASSIGN, and the value after it.
+#: What names a credential, wider than ASSIGN, and the value after it: up to the closing quote, or a run of characters.
 CONTEXT = re.compile(
-    r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?|authorization)["']?\x20*(?:=>|:=|[:=])\x20*(?:(?:bearer|basic)\x20+)?["']?([^\s"'<>,;]+)""",
+    r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?|authorization)["']?\x20*(?:=>|:=|[:=])\x20*(?:(?:bearer|basic)\x20+)?(?:"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)'|["']?([^\s"'<>,;]+))""",
     re.IGNORECASE | re.ASCII,
 )
+#: Where the next field of a query string ends a value without quotes.
+_FIELD = re.compile(r"&\w+=")
 #: Lower-case parts, one of which every match of ASSIGN or CONTEXT has.
 _PARTS = ("pass", "pwd", "secret", "token", "key", "credential", "authorization")
 KINDS = ("assign", "access", "hex", "guess")
@@ -44,20 +46,24 @@ def base_spans(text: str, hint: str | None = None) -> list[tuple[int, int, int]]
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, int]], least_log10: float, shortest: int, hint: str) -> list[tuple[int, int, int]]:
-    """Values in a credential context that no base span meets and whose cheapest guess costs least_log10 or more."""
+    """Values in a credential context whose cheapest guess costs least_log10 or more, or of which base spans hold a part;
+    none that a base span holds whole."""
     if not any(x in hint for x in _PARTS):
         return []
     out = []
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        value = m[1].rstrip(".!?)]}%*#$&")
-        b = a + len(value)
-        if b - a >= shortest and not any(s < b and a < e for s, _, e in base) and guesses_log10(value) >= least_log10:
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 3:
+            field = _FIELD.search(text, a, b)
+            b = a + len(text[a : field.start() if field else b].rstrip(".!?)]}%*#$&"))
+        if b - a < shortest or any(s <= a and b <= e for s, _, e in base):
+            continue
+        if any(s < b and a < e for s, _, e in base) or guesses_log10(text[a:b]) >= least_log10:
             out.append((a, 3, b))
     return out
 
 
-def all_spans(text: str | None, least_log10: float = 10.0, shortest: int = 8) -> list[tuple[int, int, int]]:
+def all_spans(text: str | None, least_log10: float = 8.05, shortest: int = 8) -> list[tuple[int, int, int]]:
     text = text or ""
     hint = text.lower()
     base = base_spans(text, hint)
@@ -73,19 +79,19 @@ def _found(least_log10: float, shortest: int):
     return run
 
 
-def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_log10: float = 10.0, shortest: int = 8) -> DataFrame:
+def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_log10: float = 8.05, shortest: int = 8) -> DataFrame:
     """id_column and spans (kind, from, to in code points; to exclusive) of every whole text, one row for each input row.
 
     Kinds: assign, access, hex (fixed patterns, leftmost without overlap within a kind) and guess (a value of at least
-    `shortest` characters after a credential name that takes 10**least_log10 guesses or more and meets none of the
-    others). Null or empty text: no spans. Ids may be null or repeat; other columns are left out.
+    `shortest` characters after a credential name that takes 10**least_log10 guesses or more, or that another kind
+    holds in part; the whole of it). Null or empty text: no spans. Ids may be null or repeat; other columns are left out.
     """
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     return texts.mapInArrow(_found(least_log10, shortest), f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_column)
 
 
-def redact_secrets(docs: DataFrame, text_column: str = "text", least_log10: float = 10.0, shortest: int = 8, by: str = "[secret]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_column: str = "text", least_log10: float = 8.05, shortest: int = 8, by: str = "[secret]") -> DataFrame:
     """docs with every found span, overlapping ones as one, replaced. Rows and other columns stay; null stays null."""
     at = docs.columns.index(text_column)
 
