@@ -331,6 +331,25 @@ def test_op10_text(spark):
     assert html_text.extract_text(rows).count() == 3 and html_text.extract_text(rows.limit(0)).count() == 0
 
 
+def test_op10_names_of_wrappers_ban_no_article():
+    body = "<p>First, a sentence. It goes on, and on.</p><p>Second, another one. It ends here.</p>"
+    want = "First, a sentence. It goes on, and on.\nSecond, another one. It ends here."
+    side = '<div class="comments"><p>I, a reader, say this and that. No, not so, never, by no means, I say. Nor, I say, will it, or can it, be so.</p></div>'
+    for around in (
+        '<body class="no-sidebar">{}</body>',
+        '<body class="home has-sidebar"><div>{}</div></body>',
+        '<body class="sidebar" id="menu"><div>{}</div></body>',
+        '<main class="overflow-hidden">{}</main>',
+        '<div class="content with-sidebar">{}</div>',
+        '<article class="post comments-open">{}</article>',
+        '<div class="sidebar-right"><div>{}</div></div>',
+    ):
+        assert html_text.main_text(around.format(body)) == want, around
+        assert html_text.main_text(around.format(body + side)) == want, around
+    for label in ("sidebar", "cookie-notice", "site-footer", "main_menu", "x social-links y", "ad", "ad-slot-3"):
+        assert html_text.main_text(f'<div>{body}</div><div class="{label}"><p>Out, out. Of it, all.</p></div>') == want, label
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 

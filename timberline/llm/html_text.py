@@ -3,7 +3,7 @@
 Each text block has a path of tags from the root. Per page and path, text length and punctuation for each block are
 summed up, smoothed over neighbouring paths in page order, multiplied, and compared with a threshold; paths above it
 mark content, and the element that holds the strongest path is taken whole, so that short paragraphs between long ones
-stay. Elements that hold no article text by name or role (menus, forms, adverts, comments and the like) never count.
+stay. Elements that hold no article text by name or role (menus, forms, adverts, comments and the like) do not count.
 """
 
 from __future__ import annotations
@@ -27,12 +27,18 @@ _BLOCK = frozenset(
 #: Elements without article text.
 _NEVER = frozenset("head nav header footer aside form dialog menu select button script style noscript template iframe textarea title svg object canvas".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|banner|promo(?:tion)?|sidebar|cookies?|consent|notices?|"
-    r"comments?|disqus|replies|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|shar(?:e|ing)|social|related|recommended|"
-    r"newsletter|subscribe|signup|login|popup|modal|widget|pagination|pager|copyright|legal|toolbar|hidden)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Class or id tokens of elements without article text: names, with words of place or shape beside them at most.
+#: Comments, consent texts and adverts stay out however long they are; the others do not if they hold most of the page.
+_OUT = r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|cookies?|consent|comments?|disqus|replies"
+_NAME = (
+    rf"(?:{_OUT}|banner|promo(?:tion)?|sidebar|notices?|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|shar(?:e|ing)|"
+    r"social|related|recommended|newsletter|subscribe|signup|login|popup|modal|widget|pagination|pager|copyright|legal|toolbar|hidden)"
 )
+_PLACE = r"(?:site|page|global|main|primary|secondary|top|bottom|left|right|inner|outer|box|block|bar|area|section|container|wrap(?:per)?|list|items?|links?|buttons?|form|post|text|slot|unit|[0-9]+)"
+_NAMES = re.compile(rf"(?:^|\s)(?:{_PLACE}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_PLACE}))*(?!\S)", re.IGNORECASE)
+_OUT_NAMES = re.compile(rf"(?:^|[\s_-])(?:{_OUT})(?![^\s_-])", re.IGNORECASE)
+#: Elements around articles: no name of theirs keeps text out.
+_AROUND = frozenset("html body main article".split())
 _LABEL = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 #: An opening tag that ends these elements, where they are open.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -40,24 +46,27 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 _SPACE = re.compile(r"\s+")
 
 
-def _unwanted(name: str, labels: str) -> bool:
+def _unwanted(name: str, labels: str) -> int:
+    """0: may hold article text; 1: not, unless it holds most of the page's text; 2: not."""
     if name in _NEVER:
-        return True
+        return 2
     if not labels.strip():
-        return False
+        return 0
+    found = 0
     for m in _LABEL.finditer(labels):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "role" and value.lower() in _ROLES):
-            return True
-        if kind in ("class", "id") and _NAMES.search(value):
-            return True
-    return False
+            return 2
+        if kind in ("class", "id") and name not in _AROUND and (named := _NAMES.search(value)):
+            found = max(found, 2 if _OUT_NAMES.search(named[0]) else 1)
+    return found
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
     """(path, whether it may be content, text) of each block with text, in page order; references are decoded."""
-    out: list[tuple[tuple[str, ...], bool, str]] = []
-    stack: list[tuple[str, bool]] = []  # element, whether text in it may be content
+    out: list[tuple[tuple[str, ...], int | None, str]] = []
+    outer = [0]  # for each element that only a name keeps out, the next one around it; 0: none
+    stack: list[tuple[str, int | None]] = []  # element, and the innermost such element; None: no content
     text: list[str] = []
     low = None
 
@@ -66,7 +75,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
         text.clear()
         if joined:
             path = tuple(x for x, _ in stack if x in _BLOCK)
-            out.append((path, not stack or stack[-1][1], joined))
+            out.append((path, stack[-1][1] if stack else 0, joined))
 
     def close(at: int) -> None:
         if any(x in _BLOCK for x, _ in stack[at:]):
@@ -118,9 +127,20 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
                         break
             flush()
         if name not in _VOID and not m[3].endswith("/"):
-            stack.append((name, (not stack or stack[-1][1]) and not _unwanted(name, m[3])))
+            around = stack[-1][1] if stack else 0
+            ban = 2 if around is None else _unwanted(name, m[3])
+            if ban == 1:
+                outer.append(around)
+            stack.append((name, None if ban == 2 else len(outer) - 1 if ban else around))
     flush()
-    return out
+    held = [0] * len(outer)
+    for _, around, joined in out:
+        if around is not None:
+            held[around] += len(joined)
+    for k in range(len(outer) - 1, 0, -1):
+        held[outer[k]] += held[k]
+    # what holds most is held by elements that hold as much
+    return [(path, around is not None and (not around or 2 * held[around] > held[0]), joined) for path, around, joined in out]
 
 
 def path_scores(found: list[tuple[tuple[str, ...], bool, str]]) -> dict[tuple[str, ...], float]:
