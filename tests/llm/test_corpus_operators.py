@@ -224,6 +224,19 @@ def test_op5_edges(spark, texts):
     assert jaccard_join.near_duplicates(empty(spark)).count() == 0
 
 
+def test_op5_texts_that_share_an_id(spark):
+    rng = random.Random(9)
+    text = lambda: [f"w{rng.randint(0, 5000)}" for _ in range(100)]
+    alone, base = [" ".join(text()) for _ in range(6)], text()
+    near = [" ".join([*base[:-1], f"last{k}"]) for k in range(3)]
+    rows = [(None, alone[0]), (None, alone[1]), (None, near[0]), (None, near[1]), (7, alone[2]), (7, alone[3]), (7, near[2]), (8, alone[4]), (None, alone[5]), (9, alone[5]), (None, alone[0])]
+    got = [tuple(r) for r in jaccard_join.near_duplicates(docs_of(spark, rows)).collect()]
+    want = [(None, None, 1, 0)] * 2 + [(None, None, 0, 0)] + [(None, None, 2, 2)] * 2 + [(7, 7, 0, 0)] * 2 + [(7, None, 2, 2), (8, 8, 0, 0), (None, None, 1, 0), (9, None, 1, 0)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs_of(spark, rows)).collect()]
+    assert len(kept) == 7 and {t for _, t in kept} - set(near) == set(alone) and sum(i is None and t in near for i, t in kept) == 1
+
+
 def test_op6_learns(spark):
     rng = random.Random(2)
     rows, labels = [], []

@@ -83,7 +83,7 @@ def _sequence_keys(words: Words) -> list[np.ndarray]:
 def _signed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words in pieces(batch.column(1), 1_000_000):
+            for a, b, words in pieces(batch.column(2), 1_000_000):
                 grams, first = _ngrams(words, n)
                 full = np.flatnonzero(np.diff(first))
                 sig = np.zeros((b - a, SIZE), np.uint32)
@@ -93,7 +93,7 @@ def _signed(n: int):
                 has = np.diff(first) > 0
                 k1, k2 = _sequence_keys(words)
                 signature = pa.array([x.tobytes() if h else None for x, h in zip(sig, has, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(k1), pa.array(k2), signature], ["id", "k1", "k2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(k1), pa.array(k2), signature], ["id", "content", "k1", "k2", "sig"])
 
     return run
 
@@ -201,7 +201,7 @@ def _verified(n: int, threshold: float):
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        reps, first = np.unique(group.column("rep").to_numpy(), return_index=True)  # a repeated id stands once
+        reps, first = np.unique(group.column("rep").to_numpy(), return_index=True)  # a repeated row stands once
         group = group.take(pa.array(first))
         copies, block = group.column("copies").to_numpy(), group.column("block").to_numpy()
         sets = []
@@ -239,12 +239,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts among them).
 
     Null and empty texts are copies of each other and like nothing else; texts of fewer than n words are one n-gram.
-    A null id counts as the least id and stays null. Rows that share an id belong to one class. An empty table gives an
-    empty result; other columns are left out.
+    A null id counts as the least id and stays null. Different texts under one id, null or not, are documents of their
+    own. An empty table gives an empty result; other columns are left out.
     """
-    texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(packed.NULL_ID)).alias("id"), F.col(text_column).cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_signed(n), "id long, k1 long, k2 long, sig binary"), "signatures")
-    sets = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "sets")
+    found = _classes(docs, id_column, text_column, threshold, n, recall, small, depth)
+    real = lambda c: F.when(F.col(c) != packed.NULL_ID, F.col(c))
+    return found.select(real("id").alias(id_column), real("class_id").alias("class_id"), "n_links", "n_linked_texts")
+
+
+def _keys(docs: DataFrame, id_column: str, text_column: str) -> tuple:
+    """What names a document: its id (null: NULL_ID) and a hash of its text."""
+    return F.coalesce(docs[id_column].cast("long"), F.lit(packed.NULL_ID)), F.xxhash64(F.coalesce(docs[text_column].cast("string"), F.lit("")))
+
+
+def _classes(docs: DataFrame, id_column: str, text_column: str, threshold: float = 0.8, n: int = 5, recall: float = 0.999, small: int = 100, depth: int = 3) -> DataFrame:
+    """id, content, class (a number of its own for each class), class_id, n_links and n_linked_texts of each row."""
+    own_id, content = _keys(docs, id_column, text_column)
+    texts = docs.select(own_id.alias("id"), content.alias("content"), F.col(text_column).cast("string").alias("text"))
+    signed = written(texts.mapInArrow(_signed(n), "id long, content long, k1 long, k2 long, sig binary"), "signatures")
+    # a set goes by the hash of one of its texts, that of the least id
+    least_row = F.min(F.struct("id", "content"))
+    sets = signed.groupBy("k1", "k2").agg(least_row.alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    sets = written(sets.select("k1", "k2", F.col("least")["content"].alias("rep"), F.col("least")["id"].alias("rep_id"), "copies", "sig"), "sets")
     signatures = sets.filter("sig IS NOT NULL").select("rep", "sig")
     rows = signatures.mapInArrow(_start(_roots(runs_for(recall, threshold, depth), threshold)), "path long, rep long")
     buckets = []
@@ -264,24 +280,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     groups = written(components(compared.groupBy("path").applyInArrow(_alike(least), "a long, b long")), "groups")
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    member = groups.join(sizes, "root").join(sets.select(F.col("rep").alias("node"), "copies"), "node")
+    member = groups.join(sizes, "root").join(sets.select(F.col("rep").alias("node"), "rep_id", "copies"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    member = member.select("root", F.col("node").alias("rep"), "copies", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    member = member.select("root", "rep", "copies", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    checked = member.join(texts.withColumnRenamed("id", "rep"), "rep").groupBy("root", "x", "y").applyInArrow(_verified(n, threshold), "rep long, near long, linked long, others long")
+    member = member.select("root", F.col("node").alias("rep"), "rep_id", "copies", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    member = member.select("root", "rep", "rep_id", "copies", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    checked = member.join(texts.select(F.col("id").alias("rep_id"), F.col("content").alias("rep"), "text"), ["rep_id", "rep"]).groupBy("root", "x", "y").applyInArrow(_verified(n, threshold), "rep long, near long, linked long, others long")
     checked = written(checked, "checked")
     totals = checked.groupBy("rep").agg(F.sum("linked").alias("linked"), F.sum("others").alias("others"))
-    classes = components(checked.select(F.col("rep").alias("a"), F.col("near").alias("b")))
-    found = sets.join(totals, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = components(checked.select(F.col("rep").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "rep")
+    least_ids = classes.join(sets.select("rep", "rep_id"), "rep").groupBy("root").agg(F.min("rep_id").alias("class_id"))
+    found = sets.join(totals, "rep", "left").join(classes.join(least_ids, "root"), "rep", "left")
     zero = F.lit(0).cast("long")
-    found = found.select("k1", "k2", F.coalesce("root", "rep").alias("class"), (F.coalesce("others", zero) + F.col("copies") - 1).alias("n_links"), F.coalesce("linked", zero).alias("n_linked_texts"))
-    real = lambda c: F.when(F.col(c) != packed.NULL_ID, F.col(c))
-    return signed.select("id", "k1", "k2").join(found, ["k1", "k2"]).select(real("id").alias(id_column), real("class").alias("class_id"), "n_links", "n_linked_texts")
+    found = found.select("k1", "k2", F.coalesce("root", "rep").alias("class"), F.coalesce("class_id", "rep_id").alias("class_id"), (F.coalesce("others", zero) + F.col("copies") - 1).alias("n_links"), F.coalesce("linked", zero).alias("n_linked_texts"))
+    return signed.select("id", "content", "k1", "k2").join(found, ["k1", "k2"]).drop("k1", "k2")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """Of each class of near duplicates, the row of the least id, with all columns; of repeated rows with that id, one."""
-    classes = near_duplicates(docs, id_column, text_column, **options)
-    good = classes.filter(F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("good_id")).distinct()
-    kept = docs.join(good, docs[id_column].eqNullSafe(good["good_id"]), "left_semi")
-    return kept.dropDuplicates([id_column])
+    """Of each class of near duplicates, the row of the least id (of its texts under that id, one), with all columns; of
+    repeated rows, one."""
+    least = _classes(docs, id_column, text_column, **options).groupBy("class").agg(F.min(F.struct("id", "content")).alias("least"))
+    good = least.select(F.col("least")["id"].alias("good_id"), F.col("least")["content"].alias("good_content"))
+    own_id, content = _keys(docs, id_column, text_column)
+    rows = docs.select(*docs.columns, own_id.alias("own id"), content.alias("own content"))
+    kept = rows.join(good, (F.col("own id") == F.col("good_id")) & (F.col("own content") == F.col("good_content")), "left_semi")
+    return kept.dropDuplicates(["own id", "own content"]).drop("own id", "own content")
