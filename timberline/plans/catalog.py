@@ -104,6 +104,7 @@ QUERIES = {
     "window_anomalies": (lambda s, d: dx.window_anomalies(_entries(s, d), WIDE).select("idx", "kind", F.round("score", 6).alias("score")), f"{E}, {_WINDOWS} SELECT idx, 'error_spike' AS kind, round(least(1.0, error_rate * 2), 6) AS score FROM u WHERE error_rate > 0.4 UNION ALL SELECT idx, 'event_burst', 1.0 FROM u WHERE total > 20"),
     "silences": (lambda s, d: dx.silences(_entries(s, d), WIDE), f"{E}, g AS (SELECT ts_sec, lag(ts_sec) OVER (ORDER BY ts_sec) AS before FROM (SELECT DISTINCT ts_sec FROM e)) SELECT before, ts_sec, ts_sec - before AS silent FROM g WHERE ts_sec - before > 600"),
     "ngrams": (lambda s, d: ng.ngram_counts(_entries(s, d), Params(ngram_window=4)), f"{E}, t AS (SELECT row_number() OVER (ORDER BY seq) AS pos, ts_sec, {_TOKEN} AS token FROM e), a AS (SELECT pos, (SELECT count(*) FROM t) AS N, list(token) OVER w AS tokens, list(ts_sec) OVER w AS secs FROM t WINDOW w AS (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)), x AS (SELECT *, unnest([2, 3, 4]) AS length FROM a) SELECT array_to_string(tokens[1:length], '->') AS pattern, length, CAST(sum(least(N - pos - length + 2, 5 - length)) AS BIGINT) AS freq, min(secs[length]) AS first_seen, max(secs[len(secs)]) AS last_seen FROM x WHERE length <= len(tokens) GROUP BY 1, 2"),
+    "ngrams_whole_window": (lambda s, d: ng.ngram_counts(_entries(s, d)), None),
     "rule_matches": (lambda s, d: RuleSet(_RULES).matches(_entries(s, d)).select("seq", "rule_id", "score", "priority"), f"""{E}, n AS (SELECT *, row_number() OVER (PARTITION BY ts_sec ORDER BY seq) + coalesce(count(*) OVER (ORDER BY ts_sec RANGE BETWEEN 7200 PRECEDING AND 1 PRECEDING), 0) AS seen FROM e)
 SELECT seq, 'errors' AS rule_id, 0.7 AS score, 'CRITICAL' AS priority FROM n WHERE level = 4 UNION ALL SELECT seq, 'purchases', 0.9, 'HIGH' FROM n WHERE contains(upper(message), 'PURCHASE') UNION ALL SELECT seq, 'busy', 0.6, 'MEDIUM' FROM n WHERE least(seen, 1000) >= 40 UNION ALL SELECT seq, 'one', 0.5, 'LOW' FROM n WHERE lower(source) = 'svc-3'"""),
     "rule_statistics": (lambda s, d: RuleSet(_RULES[:3]).statistics(_entries(s, d)), f"{E} SELECT 'errors' AS rule_id, count(*) AS matches FROM e WHERE level = 4 UNION ALL SELECT 'purchases', count(*) FROM e WHERE contains(message, 'purchase') UNION ALL SELECT 'one', count(*) FROM e WHERE source = 'svc-3'"),
