@@ -45,3 +45,15 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got.groupBy().sum("total").first()[0] == 400
     assert sorted(map(tuple, run(rare_ip_stream(stream, p), "ips").select("seq", "occurrence").collect())) == sorted(map(tuple, dx.rare_ips(batch, p).select("seq", "occurrence").collect()))
     assert sorted(r["seq"] for r in run(burst_stream(stream, p), "bursts").collect()) == sorted(r["seq"] for r in dx.bursts(batch, p).collect())
+
+
+def test_all_producers_reach_the_ranked_table(spark):
+    from timberline.plans import catalog
+
+    d = DATA.rsplit("/", 1)[0]
+    found = catalog._all_anomalies(spark, d).persist()
+    got = {r["detector"]: r["count"] for r in found.groupBy("detector").count().collect()}
+    assert got["malformed"] == catalog._parsed(spark, d).filter("malformed").count() > 0
+    assert got["pattern"] > 0 and got["time_window"] > 0 and got["burst"] > 0
+    ranked = dx.ranked(found, 0).collect()
+    assert len(ranked) == sum(got.values()) and {r["detector"] for r in ranked} == set(got)

@@ -148,7 +148,7 @@ def bursts(entries: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def online_anomalies(entries: DataFrame, p: Params = Params()) -> DataFrame:
-    """Hits of all detectors in one shape: seq, detector, type, severity, score, source, window_start, window_end, description."""
+    """Hits of the four detectors that judge each entry, in one shape: seq, detector, type, severity, score, source, window_start, window_end, description."""
     at, none = F.col("ts_sec"), F.lit(None)
 
     def shape(rows, detector, kind, severity, score, start, end, text, source="source"):

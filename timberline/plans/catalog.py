@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import text as tx
 from timberline.functions import timestamps as dt
+from timberline.operators import anomalies as an
 from timberline.operators import dashboard as db
 from timberline.operators import detectors as dx
 from timberline.operators import ngrams as ng
@@ -62,6 +63,12 @@ def _parsed(spark, d):
     return parse_lines(raw_lines(_entries(spark, d)))
 
 
+def _all_anomalies(spark, d):
+    parsed = _parsed(spark, d).persist()
+    entries = _entries(spark, d).join(parsed.filter("NOT malformed").select("seq"), "seq", "left_semi").persist()
+    return an.all_anomalies(entries, parsed, WIDE)
+
+
 def _gaps(column: str) -> str:
     return f"""{E}, {_SERIES}, g AS (SELECT minute, CAST({column} AS DOUBLE) AS {column}, lag(minute) OVER (ORDER BY minute) AS before FROM s)
 SELECT minute, {column} FROM g UNION ALL SELECT before + INTERVAL 1 MINUTE, NULL FROM g WHERE epoch(minute) - epoch(before) > 300"""
@@ -126,7 +133,10 @@ SELECT seq, 'errors' AS rule_id, 0.7 AS score, 'CRITICAL' AS priority FROM n WHE
     "bursts": (lambda s, d: dx.bursts(_entries(s, d), WIDE), None),
     "burst_signatures": (lambda s, d: _entries(s, d).groupBy(tx.burst_signature(F.col("source"), F.col("level"), F.col("message")).alias("signature")).agg(F.count("*").alias("n")), f"{E} SELECT source || '|' || level || '|' || {_NORMAL} AS signature, count(*) AS n FROM e GROUP BY 1"),
     "online_anomalies": (lambda s, d: dx.online_anomalies(_entries(s, d), WIDE).withColumn("score", F.round("score", 6)), None),
-    "top_anomalies": (lambda s, d: dx.ranked(dx.online_anomalies(_entries(s, d), WIDE)).select("seq", "detector", "severity", F.round("score", 6).alias("score"), "window_start", "window_end"), None),
+    "all_anomalies": (lambda s, d: _all_anomalies(s, d).withColumn("score", F.round("score", 6)), None),
+    "ngram_summary": (lambda s, d: ng.ngram_summary(ng.ngram_counts(_entries(s, d))), None),
+    "ngram_novelties": (lambda s, d: ng.ngram_novelties(ng.ngram_counts(_entries(s, d))), None),
+    "top_anomalies": (lambda s, d: dx.ranked(_all_anomalies(s, d)).select("seq", "detector", "severity", F.round("score", 6).alias("score"), "window_start", "window_end"), None),
     "anomalies_by_minute": (lambda s, d: dx.online_anomalies(_entries(s, d), WIDE).join(_entries(s, d).select("seq", "ts"), "seq").groupBy(dt.minute(F.col("ts")).alias("minute")).agg(F.count("*").alias("anomalies")), None),
     "document_ips": (lambda s, d: ru.ip_counts(s.read.parquet(f"{d}/documents.parquet").select(F.col("text").alias("message"), "source")), f"SELECT ip, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || ' ' || source, {_IP})) AS ip FROM documents) GROUP BY 1"),
     "string_functions": (lambda s, d: _entries(s, d).select("seq", tx.trim(F.concat(F.lit(" \t"), "message", F.lit("\n "))).alias("trimmed"), tx.replace_all(F.col("message"), "user", "account").alias("replaced"), tx.starts_with(F.col("message"), "ERR", False).alias("starts"), tx.ends_with(F.col("message"), "1").alias("ends"), F.size(tx.split_whitespace(F.col("message"))).cast("long").alias("words"), tx.join(tx.split(F.col("message"), " "), "|").alias("joined"), tx.escape_csv(F.concat("message", F.lit(',"x"'))).alias("csv")), f"""{E} SELECT seq, message AS trimmed, replace(message, 'user', 'account') AS replaced, starts_with(lower(message), 'err') AS starts, ends_with(message, '1') AS ends, CAST(len(string_split(message, ' ')) AS BIGINT) AS words, replace(message, ' ', '|') AS joined, '"' || message || ',""x""' || '"' AS csv FROM e"""),

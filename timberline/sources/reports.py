@@ -57,7 +57,8 @@ def console(summary: DataFrame, sources: DataFrame, anomalies: DataFrame, most:
     lines = ["=== Log analysis ===", f"Events: {one['total_events']}  Errors: {one['total_errors']}  Warnings: {one['total_warnings']}", f"From {one['analysis_start']} to {one['analysis_end']}", "", "Top sources"]
     lines += [f"  {r['source']}: {r['total']}" for r in sources.orderBy(F.desc("total"), "source").limit(top).collect()]
     lines += ["", "Anomalies"]
-    for r in anomalies.orderBy("seq", "detector").limit(most).collect():
+    phases = ["phase"] if "phase" in anomalies.columns else []
+    for r in anomalies.orderBy(*phases, "seq", "detector").limit(most).collect():
         bar = "#" * round(10 * r["severity"] / 4)
         lines.append(f"  [{bar:<10}] {_stamp(r['window_start'])} {r['detector']}: {r['description']}")
     return "\n".join(lines)
