@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import packed
 from .components import components
 from .shared import written
-from .wordhash import _WORDS, U, Words, _splitmix, mix, pieces, windows
+from .wordhash import U, Words, _splitmix, mix, pieces, windows
 
 SIZE = 64
 _FACTORS = _splitmix(23, SIZE) | U(1)
@@ -67,19 +67,6 @@ def _ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _sequence_keys(words: Words) -> list[np.ndarray]:
-    """Two hashes of each text's whole word sequence."""
-    hashes, n = words.hashes(), len(words)
-    out = []
-    for powers in _WORDS:
-        up, down = powers.get(n + 1)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(hashes * up[:-1], out=sums[1:])
-        a, b = words.first[:-1], words.first[1:]
-        out.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U)).view(np.int64))
-    return out
-
-
 def _signed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +78,7 @@ def _signed(n: int):
                     for j in range(SIZE):
                         sig[full, j] = np.minimum.reduceat(((grams * _FACTORS[j]) >> U(32)).astype(np.uint32), first[full])
                 has = np.diff(first) > 0
-                k1, k2 = _sequence_keys(words)
+                k1, k2 = words.keys()
                 signature = pa.array([x.tobytes() if h else None for x, h in zip(sig, has, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(k1), pa.array(k2), signature], ["id", "content", "k1", "k2", "sig"])
 

@@ -1,8 +1,10 @@
 """Words and window hashes of whole Arrow batches, computed with numpy on the UTF-8 bytes.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D; no byte of a multi-byte code point is one of those. Hashes
-are polynomials modulo 2**64 over a random table of byte values, so that the hash of any slice comes from two prefix
-sums; a final mix spreads the bits. Constants come from a fixed SplitMix64 stream: every worker computes the same.
+A word is a run of bytes other than 0x20 and 0x09-0x0D; no byte of a multi-byte code point is one of those. A word's
+hash is the sum of its 8-byte parts, each mixed with a seed of its place: no two places add up alike, as they do in
+polynomials modulo 2**64 for some pairs of long strings. A window's hash is a polynomial over the hashes of its few
+words, so that it comes from two prefix sums. Constants come from a fixed SplitMix64 stream: every worker computes the
+same.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_TABLE = _splitmix(11, 256)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -49,7 +50,6 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES = _Powers(0xD6E8FEB86659FD93)
 _WORDS = (_Powers(0x9FB21C651E98DF25), _Powers(0xA0761D6478BD642F))
 
 
@@ -78,11 +78,44 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        up, down = _BYTES.get(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, U)
-        np.cumsum(_TABLE[self.data] * up[:-1], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; those of another `which` are independent."""
+        n = len(self)
+        if not n:
+            return np.zeros(0, U)
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        eights = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        sizes = self.ends - self.starts
+        parts = (sizes + 7) >> 3
+        if parts.max() == 1:
+            begin, left, seed, first = self.starts, sizes, self._seeds(which, 1), None
+        else:
+            first = np.cumsum(parts) - parts
+            place = np.arange(first[-1] + parts[-1]) - np.repeat(first, parts)
+            begin = np.repeat(self.starts, parts) + 8 * place
+            left = np.repeat(sizes, parts) - 8 * place
+            seed = self._seeds(which, int(parts.max()))[place]
+        value = eights[begin] & (~U(0) >> (U(8) * (U(8) - np.minimum(left, 8).astype(U))))
+        with np.errstate(over="ignore"):
+            mixed = mix(value ^ seed)
+            total = mixed if first is None else np.add.reduceat(mixed, first)
+            return mix(total + sizes.astype(U))
+
+    @staticmethod
+    def _seeds(which: int, n: int) -> np.ndarray:
+        return _splitmix(11 + 89 * which, n)
+
+    def keys(self) -> list[np.ndarray]:
+        """Two hashes of each text's whole word sequence, of any length: each word is mixed with its place."""
+        out, place = [], np.arange(len(self)) - np.repeat(self.first[:-1], self.counts)
+        for which in (0, 1):
+            with np.errstate(over="ignore"):
+                mixed = mix(self.hashes(which) ^ mix(place.astype(U) * U(0x9E3779B97F4A7C15) + U(which + 1)))
+                sums = np.zeros(len(self) + 1, U)
+                np.cumsum(mixed, out=sums[1:])
+                out.append(mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.counts.astype(U)).view(np.int64))
+        return out
 
     def room(self) -> np.ndarray:
         """For each word, how many words of its text begin there or later."""
@@ -112,16 +145,23 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, Words]]:
-    """(first row, end row, their words) in slices of about most bytes; a longer text is a slice of its own."""
-    data, offsets = text_bytes(texts)
+def slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of slices of about most bytes; a longer text is a slice of its own."""
+    offsets = text_bytes(texts)[1]
     a, n = 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
-        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield a, b
         a = b
 
 
+def pieces(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, Words]]:
+    """(first row, end row, their words) of slices()."""
+    data, offsets = text_bytes(texts)
+    for a, b in slices(texts, most):
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
 def planes(x: np.ndarray) -> bytes:
     """The bytes of x, those of equal weight together, so that compression of shuffled blocks finds the zeros."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
