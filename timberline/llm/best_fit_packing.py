@@ -11,7 +11,6 @@ and prefix sums, so that no length, however common, meets in one task.
 from __future__ import annotations
 
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -21,26 +20,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions, written
-from .tokens import encoder, vocabulary
+from .tokens import encoded, vocabulary
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, array("I", [end_id]).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                rows = []
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 2048).columns), strict=True):
-                    ids = memoryview(encode(text or "") + end)
-                    n = len(ids) // 4
-                    first = n % capacity or capacity
-                    cuts = [0, *range(first, n + 1, capacity)]
-                    rows += [(doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                names = ["id", "piece", "start", "length", "ids_crc32"]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for a, b, ids, ends in encoded(batch.column(1), path, end_id):
+                n = np.diff(ends)
+                many = -(-n // capacity)
+                row = np.repeat(np.arange(b - a), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                # the first piece takes what whole ones leave
+                upto = n[row] - (many[row] - 1 - piece) * capacity
+                start = np.where(piece == 0, 0, upto - capacity)
+                bytes_ = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(bytes_[4 * x : 4 * y]) for x, y in zip((ends[row] + start).tolist(), (ends[row] + upto).tolist(), strict=True)]
+                columns = [batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(upto - start), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

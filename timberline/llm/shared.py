@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset (tests), a temporary folder is set as it."""
+    """A new path below spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder; a cluster,
+    whose machines would not see it, gets an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="timberline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -28,5 +32,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
+    """Partitions for a shuffle of df's rows: spark.sql.shuffle.partitions, or more where they would pass `each` bytes
+    by the planner's estimate of the input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(df.sparkSession), min(200_000, size // each)) if size < 1 << 60 else shuffle_partitions(df.sparkSession)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

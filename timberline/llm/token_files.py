@@ -9,7 +9,6 @@ Spark's writer commits the files, so a task that is lost and run again leaves no
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions
-from .tokens import encoder, vocabulary
+from .shared import partitions_for
+from .tokens import encoded, vocabulary
 
 FILE_SCHEMA = "part int, id long, start_in_part long, n_tokens long, ids array<int>"
 
@@ -37,17 +36,13 @@ def write_options(row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10)
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, array("I", [end_id]).tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                ids = [encode(x or "") + end for x in some.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = start + np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), some.column(0), pa.array(ends - n), pa.array(n), lists], ["part", "id", "start_in_part", "n_tokens", "ids"])
-                start = int(ends[-1])
+            for a, b, ids, ends in encoded(batch.column(1), path, end_id):
+                n = np.diff(ends)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part, np.int32)), batch.column(0).slice(a, b - a), pa.array(start + ends[:-1]), pa.array(n), lists], ["part", "id", "start_in_part", "n_tokens", "ids"])
+                start += int(ends[-1])
 
     return run
 
@@ -55,13 +50,15 @@ def _encode(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = 2, vocabulary_path: str | None = None, **sizes) -> None:
     """Encode every whole text (null: empty), add end_id, and write the ids in ascending order of id_column.
 
-    Rows with the same id stand in the order of their texts, a null id first. An empty table writes files without
-    rows. Other columns are left out.
+    Rows with the same id stand in the order of a hash of their texts, a null id first. An empty table writes files
+    without rows. A text is encoded whole, and held whole while it is, however long. Other columns are left out.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    # Range partitions are as even as a sample of ids shows; ids that no rule makes rare (one id in a third of all
-    # rows) fill one partition, as an order by id asks for.
-    ordered = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
+    text = F.col(text_column).cast("string")
+    # Ranges of id, hash and input partition: an id in a third of the rows is dealt to many partitions by its texts, and
+    # equal texts by where they come from. Sorting compares these numbers, never texts.
+    keys = [F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.spark_partition_id().alias("from")]
+    texts = docs.select(*keys, text.alias("text"))
+    ordered = texts.repartitionByRange(partitions_for(docs), "id", "h", "from").sortWithinPartitions("id", "h", "from").select("id", "text")
     ordered.mapInArrow(_encode(vocabulary_path or vocabulary(), end_id), FILE_SCHEMA).write.options(**write_options(**sizes)).parquet(path)
 
 
