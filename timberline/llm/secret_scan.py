@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .guess_cost import guesses_log10
+from .wordhash import slices
 
 # Patterns and least lengths of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -73,8 +74,9 @@ def all_spans(text: str | None, least_log10: float = 8.05, shortest: int = 8) ->
 def _found(least_log10: float, shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"kind": KINDS[k], "from": a, "to": b} for a, k, b in all_spans(x, least_log10, shortest)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN))], ["id", "spans"])
+            for a, b in slices(batch.column(1)):
+                spans = [[{"kind": KINDS[k], "from": i, "to": j} for i, k, j in all_spans(x.as_py(), least_log10, shortest)] for x in batch.column(1).slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(spans, pa.list_(_SPAN))], ["id", "spans"])
 
     return run
 
@@ -108,9 +110,10 @@ def redact_secrets(docs: DataFrame, text_column: str = "text", least_log10: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns)
-            columns[at] = pa.array([clean(x) for x in columns[at].to_pylist()], columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            for a, b in slices(batch.column(at)):
+                columns = [x.slice(a, b - a) for x in batch.columns]
+                columns[at] = pa.array([clean(x.as_py()) for x in columns[at]], columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
