@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from timberline.llm import best_fit_packing, html_text, jaccard_join, quality_rules, secret_scan, spaced_seeds, substring_dedup, token_files, toxicity, warc
+from timberline.llm import best_fit_packing, html_text, jaccard_join, quality_rules, secret_scan, spaced_seeds, substring_dedup, token_files, toxicity, warc, wordhash
 from timberline.llm.guess_cost import guesses_log10
 from timberline.llm.shared import shared_folder
 from timberline.llm.tokens import Encoder, vocabulary
@@ -41,26 +41,51 @@ def empty(spark):
     return docs_of(spark, []).limit(0)
 
 
-def test_op1_against_brute_force(spark, texts):
-    got = substring_dedup.remove_repeats(docs_of(spark, texts)).collect()
-    assert len(got) == len(texts)
-    first = {}
-    rows = [(-(10**19) if i is None else i, (t or "").encode().split()) for i, t in texts]
-    for i, w in rows:
+def _repeats_removed(rows):
+    """Rows of (id, text) as (id, words, removed, kept text): a window goes if an equal one starts in a document of smaller
+    id, or earlier in its own; documents go by id and text."""
+    docs = [(-(10**19) if i is None else i, t or "", (t or "").encode().split()) for i, t in rows]
+    least, own = {}, {}
+    for i, t, w in docs:
         for p in range(len(w) - 19):
             k = tuple(w[p : p + 20])
-            first[k] = min(first.get(k, (i, p)), (i, p))
-    want = []
-    for i, w in rows:
+            least[k] = min(least.get(k, i), i)
+            own[i, t, k] = min(own.get((i, t, k), p), p)
+    out = []
+    for i, t, w in docs:
         gone = [False] * len(w)
         for p in range(len(w) - 19):
-            if first[tuple(w[p : p + 20])] < (i, p):
+            k = tuple(w[p : p + 20])
+            if least[k] < i or own[i, t, k] < p:
                 gone[p : p + 20] = [True] * 20
-        want.append((i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
-    assert sorted((-(10**19) if r[0] is None else r[0], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == sorted(want)
+        out.append((i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return sorted(out)
+
+
+def test_op1_against_brute_force(spark, texts):
+    rng = random.Random(12)
+    passage = texts[-1][1]
+    own = lambda n: " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(n))
+    # different texts under one id, and without one; a very long text with repeats in itself
+    rows = [*texts, (None, own(70)), (None, f"{own(5)} {passage}"), (100, own(300)), (7, f"{passage} {own(30)}"), (400, " ".join([own(40_000), passage, passage, own(50)]))]
+    got = substring_dedup.remove_repeats(docs_of(spark, rows)).collect()
+    assert sorted((-(10**19) if r[0] is None else r[0], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == _repeats_removed(rows)
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_word_hashes_tell_long_words_apart():
+    import pyarrow as pa
+
+    turns = [0]
+    while len(turns) < 4096:
+        turns += [1 - x for x in turns]
+    words = ["".join("ab"[x ^ flip] for x in turns) for flip in (0, 1)]
+    lists = [" ".join(("x", "y")[x ^ flip] for x in turns) for flip in (0, 1)]
+    hashes = {h for _, _, w in wordhash.pieces(pa.array(words)) for h in w.hashes().tolist()}
+    keys = {k for _, _, w in wordhash.pieces(pa.array(lists)) for k in w.keys()[0].tolist()}
+    assert len(hashes) == len(keys) == 2
+
+
 def test_op2_spans_and_costs(spark, texts):
     assert guesses_log10("password123") < 4 < 9 < guesses_log10("x7Kq9#Lm2v")
     # whole values count: a long repeat is as cheap as its unit, whatever its length

@@ -12,7 +12,8 @@ non-overlapping blocks of every document are the index, and every rolling block
 3. remove: repeated windows go back to their documents, where overlapping ones merge to maximal exact repeats.
 
 Fingerprints only propose; the 128-bit hash of the whole window decides. Shuffled are the probes (about 5 bytes a
-word), the texts once, and the candidate windows. Nothing is collected and no pairs are formed.
+word), the texts once, and the candidate windows. Nothing is collected and no pairs are formed. A document goes by its
+key, a hash of id and text: different texts under one id, or without one, are documents of their own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .shared import shuffle_partitions
+from .shared import partitions_for
 from .wordhash import U, pieces, windows
 
 #: Probes that a task holds before it sends them: some 100 MB with what sorting takes.
@@ -74,13 +75,13 @@ def _probes(buckets: int, homes: int, block: int):
     return run
 
 
-def _home(ids: np.ndarray, homes: int) -> np.ndarray:
-    """The group that the document of an id lies in; the same formula as home_of."""
-    return (ids % homes).astype(np.int64)
+def _home(keys: np.ndarray, homes: int) -> np.ndarray:
+    """The group that the document of a key lies in; the same formula as home_of."""
+    return (keys % homes).astype(np.int64)
 
 
-def home_of(id_column, homes: int):
-    return F.pmod(F.coalesce(id_column.cast("long"), F.lit(packed.NULL_ID)), F.lit(homes).cast("long")).cast("int")
+def home_of(key, homes: int):
+    return F.pmod(key, F.lit(homes).cast("long")).cast("int")
 
 
 def _answer(found: pa.Table, homes: int, decide, kinds) -> pa.Table:
@@ -109,80 +110,71 @@ def _hits(homes: int, block: int):
     return lambda found: _answer(found, homes, decide, (np.uint32,))
 
 
+def _judged(ids, keys, pos, high, low) -> tuple[np.ndarray, np.ndarray]:
+    """For windows under two hashes: which are repeats (an equal one lies in a document of smaller id, or earlier in the
+    same document), and which of the others come first among equal rows."""
+    order = np.lexsort((pos, keys, ids, low, high))
+    i, k, p, h, g = ids[order], keys[order], pos[order], high[order], low[order]
+    n = np.arange(len(order))
+    new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])][: len(order)]
+    turn = new | np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])][: len(order)]
+    head, own = np.maximum.accumulate(np.where(new, n, 0)), np.maximum.accumulate(np.where(turn, n, 0))
+    later, single = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    later[order] = (i > i[head]) | (p > p[own])
+    single[order[turn]] = True
+    return later, single & ~later
+
+
 def _repeats(homes: int):
-    def decide(ids, pos, values):
-        high, low = values
-        order = np.lexsort((pos, ids, low, high))
-        h, g, i, p = high[order], low[order], ids[order], pos[order]
-        later = np.zeros(len(h), bool)
-        later[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-        # entries of equal id and position (rows with the same id) start together: none is earlier
-        twin = np.zeros(len(h), bool)
-        twin[1:] = later[1:] & (i[1:] == i[:-1]) & (p[1:] == p[:-1])
-        first = np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))
-        later &= ~(twin & (i == i[first]) & (p == p[first])) if len(h) else later
-        out = np.zeros(len(h), bool)
-        out[order[later]] = True
-        return out
-
-    return lambda found: _answer(found, homes, decide, (np.uint64, np.uint64))
-
-
-def _marks(answers: pa.Table, doc_ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Word numbers, in a group's texts one after another, that the answers name. Ids may repeat."""
-    ids, pos, _, _ = packed.unpack(answers, ())
-    if not len(ids):
-        return ids
-    known, run = np.unique(ids, return_index=True) if np.all(ids[1:] >= ids[:-1]) else (None, None)
-    if known is None:
-        order = np.argsort(ids, kind="stable")
-        ids, pos = ids[order], pos[order]
-        known, run = np.unique(ids, return_index=True)
-    stop = np.r_[run[1:], len(ids)]
-    at = np.searchsorted(known, doc_ids)
-    out = []
-    for d in np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == doc_ids)):
-        p = pos[run[at[d]] : stop[at[d]]]
-        out.append(first[d] + p[p < first[d + 1] - first[d]])
-    return np.concatenate(out) if out else ids[:0]
+    return lambda found: _answer(found, homes, lambda keys, pos, values: _judged(values[2], keys, pos, *values[:2])[0], (np.uint64, np.uint64, np.int64))
+
+
+def _marks(answers: pa.Table, keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Word numbers, in a group's texts one after another, that the answers name. Keys may repeat."""
+    named, pos, _, _ = packed.unpack(answers, ())
+    if not len(named):
+        return named
+    order = np.argsort(named, kind="stable")
+    named, pos = named[order], pos[order]
+    known, run = np.unique(named, return_index=True)
+    stop = np.r_[run[1:], len(named)]
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    out = [first[d] + pos[run[at[d]] : stop[at[d]]] for d in np.flatnonzero(known[at] == keys)]
+    return np.concatenate(out) if out else named[:0]
+
+
+def _counted(texts: pa.Array) -> np.ndarray:
+    """The number of the first word of each text, and of all words."""
+    counts = [words.counts for _, _, words in pieces(texts)]
+    return np.r_[0, np.cumsum(np.concatenate(counts))] if counts else np.zeros(1, np.int64)
 
 
 def _candidates(buckets: int, homes: int, window: int, block: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        to = packed.arrow_schema("bucket", 2)
-        doc_ids = packed.ids_of(docs.column(1).combine_chunks())
+        to = packed.arrow_schema("bucket", 3)
+        keys, doc_ids = docs.column(1).combine_chunks().to_numpy(zero_copy_only=False), packed.ids_of(docs.column(2).combine_chunks())
         got: list[tuple] = []
-        base, counts, parts = 0, [], []
-        for a, b, words in pieces(docs.column(2)):
-            counts.append(words.counts)
-            parts.append((a, b, words))
-        first = np.r_[0, np.cumsum(np.concatenate(counts))] if counts else np.zeros(1, np.int64)
-        marks = np.unique(_marks(answers, doc_ids, first))
-        for a, b, words in parts:
+        first = _counted(docs.column(3))
+        marks = np.unique(_marks(answers, keys, first))
+        for a, b, words in pieces(docs.column(3)):
+            base = first[a]
             own = marks[np.searchsorted(marks, base) : np.searchsorted(marks, base + len(words))] - base
-            base += len(words)
             if not len(own):
                 continue
             low = np.maximum(own - (window - block), np.repeat(words.first[:-1], words.counts)[own])
             edge = np.bincount(low, minlength=len(words) + 1) - np.bincount(own + 1, minlength=len(words) + 1)
             at = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (words.room() >= window))
-            h = words.hashes()
-            start = np.repeat(words.first[:-1], words.counts)[at]
-            got.append((np.repeat(doc_ids[a:b], words.counts)[at], at - start, windows(h, window)[at], windows(h, window, 1)[at]))
+            start, row = np.repeat(words.first[:-1], words.counts)[at], a + np.repeat(np.arange(b - a), words.counts)[at]
+            got.append((doc_ids[row], keys[row], at - start, windows(words.hashes(), window)[at], windows(words.hashes(1), window, 1)[at]))
         if not got:
             return to.empty_table()
-        ids, pos, high, low = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((pos, ids, low, high))
-        new = np.r_[True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])]
-        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        same = (ids[head] == ids[order]) & (pos[head] == pos[order])
-        kept = np.sort(order[new])
-        later = np.sort(order[~same])
-        b = ((high >> U(20)) % U(buckets)).astype(np.int64)
-        home = _home(ids[later], homes)
-        out = [*packed.pack("bucket", b[kept], ids[kept], pos[kept], [high[kept], low[kept]])]
-        for x in packed.pack("bucket", home % buckets, ids[later], pos[later], [home.astype(np.uint32)], kind=1):
-            out.append(pa.RecordBatch.from_arrays([*x.columns, pa.nulls(len(x), pa.binary())], schema=to))
+        ids, keys, pos, high, low = (np.concatenate(x) for x in zip(*got, strict=True))
+        later, kept = _judged(ids, keys, pos, high, low)
+        b = ((high[kept] >> U(20)) % U(buckets)).astype(np.int64)
+        home = _home(keys[later], homes)
+        out = [*packed.pack("bucket", b, keys[kept], pos[kept], [high[kept], low[kept], ids[kept]])]
+        for x in packed.pack("bucket", home % buckets, keys[later], pos[later], [home.astype(np.uint32)], kind=1):
+            out.append(pa.RecordBatch.from_arrays([*x.columns, *(pa.nulls(len(x), pa.binary()) for _ in range(2))], schema=to))
         return pa.Table.from_batches(out, to)
 
     return run
@@ -190,12 +182,9 @@ def _candidates(buckets: int, homes: int, window: int, block: int):
 
 def _removed(window: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        doc_ids, texts = packed.ids_of(docs.column(1).combine_chunks()), docs.column(2)
-        counts, where = [], []
-        for _, _, words in pieces(texts):
-            counts.append(words.counts)
-        first = np.r_[0, np.cumsum(np.concatenate(counts))] if counts else np.zeros(1, np.int64)
-        marks = _marks(answers, doc_ids, first)
+        keys, texts, where = docs.column(1).combine_chunks().to_numpy(zero_copy_only=False), docs.column(3), []
+        first = _counted(texts)
+        marks = _marks(answers, keys, first)
         n = int(first[-1])
         edge = np.bincount(marks, minlength=n + window) - np.bincount(marks + window, minlength=n + window)[: n + window]
         gone = np.cumsum(edge)[:n] > 0
@@ -213,7 +202,7 @@ def _removed(window: int):
                 where.append([])
             kept.append(b" ".join(words).decode())
         spans = pa.array(where, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
-        return pa.table({"id": packed.ids_to_arrow(doc_ids), "n_words": np.diff(first), "n_removed": lost, "kept_text": pa.array(kept, pa.string()), "spans": spans})
+        return pa.table({"id": docs.column(2), "n_words": np.diff(first), "n_removed": lost, "kept_text": pa.array(kept, pa.string()), "spans": spans})
 
     return run
 
@@ -224,16 +213,18 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Earlier: in a document of smaller id, or in the same one at an earlier word. Windows are judged on the input.
     Returns id_column, n_words, n_removed, kept_text (kept words joined by one space), spans (removed word ranges,
     end exclusive: the maximal exact repeats). Null or empty text: no words, kept_text empty. A null id counts as
-    smaller than all others. Rows with the same id are one document to the order: equal starts are not earlier than
-    each other, so repeated rows come back alike. An empty table gives an empty result; other columns are left out.
+    smaller than all others. Different texts under one id, null or not, are different documents, none earlier than the
+    other; equal rows (id and text) come back alike. A very long text is one slice of its task, 40 bytes a word while
+    it is read. An empty table gives an empty result; other columns are left out.
     """
-    spark, block = docs.sparkSession, window // 2
-    buckets = homes = shuffle_partitions(spark)
+    block, buckets = window // 2, partitions_for(docs, 48 << 20)
+    homes = buckets
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    homed = texts.select(home_of(F.col("id"), homes).alias("home"), "id", "text")
-    probes = texts.mapInArrow(_probes(buckets, homes, block), packed.schema("bucket", 1))
+    texts = texts.select(F.xxhash64(F.coalesce("id", F.lit(packed.NULL_ID)), F.coalesce("text", F.lit(""))).alias("key"), "id", "text")
+    homed = texts.select(home_of(F.col("key"), homes).alias("home"), "key", "id", "text")
+    probes = texts.select("key", "text").mapInArrow(_probes(buckets, homes, block), packed.schema("bucket", 1))
     hits = probes.groupBy("bucket").applyInArrow(_hits(homes, block), packed.schema("home", 0))
-    found = homed.groupBy("home").cogroup(hits.groupBy("home")).applyInArrow(_candidates(buckets, homes, window, block), packed.schema("bucket", 2))
+    found = homed.groupBy("home").cogroup(hits.groupBy("home")).applyInArrow(_candidates(buckets, homes, window, block), packed.schema("bucket", 3))
     repeats = found.groupBy("bucket").applyInArrow(_repeats(homes), packed.schema("home", 0))
     out = homed.groupBy("home").cogroup(repeats.groupBy("home")).applyInArrow(_removed(window), "id long, n_words long, n_removed long, kept_text string, spans array<struct<from: long, to: long>>")
     return out.withColumnRenamed("id", id_column)
