@@ -388,6 +388,35 @@ def test_op10_names_of_wrappers_ban_no_article():
         assert html_text.main_text(f'<div>{body}</div><div class="{label}"><p>Out, out. Of it, all.</p></div>') == want, label
 
 
+def test_op10_ratios_decide_where_names_disagree():
+    long = "<p>This, the main text, is long. It goes on, and on, and on, for ever.</p><p>Short.</p><p>A third one, as long, as the first. It ends here, at last.</p>"
+    want = "This, the main text, is long. It goes on, and on, and on, for ever.\nShort.\nA third one, as long, as the first. It ends here, at last."
+    links = "<ul><li><a>link</a><li><a>other</a><li><a>third</a></ul>"
+    # a sidebar with the text beside a main with links; a form around the page; nav links without any name
+    assert html_text.main_text(f'<body><div class="sidebar">{long}</div><main>{links}</main></body>') == want
+    assert html_text.main_text(f"<form><nav>{links}</nav><div>{long}</div></form>") == want
+    assert html_text.main_text(f"<div>{links}</div><div><h1>Head</h1>{long}</div>") == "Head\n" + want
+    assert html_text.main_text(f"<article><h1>Head</h1><section>{long}</section><ul><li>item</ul></article><div>{long}</div>") == f"Head\n{want}\nitem"
+    # paths, not names: two unnamed containers, told apart by length and punctuation alone
+    assert html_text.main_text(f"<div><span>x</span><div>{links}</div><section>{long}</section></div>") == want
+
+
+def test_op10_long_and_hostile_pages():
+    import time
+
+    assert html_text.main_text("İ" * 30 + "<script>x</SCRIPT ><p>One, two. Three.</p><p>Four.") == "İ" * 30 + "\nOne, two. Three.\nFour."
+    assert html_text.main_text("<p>&#65;&#" + "9" * 9000 + ";&#" + "0" * 9000 + "66;&amp;&nbsp;x") == "A\ufffdB& x"
+    assert html_text.main_text('<p title="a > b">x, y.</p><p class="no end>z, z.') == "x, y.\nz, z."
+    for part in ("<a", "<div>x", '<a href="', "<p title='x", "<!--", "<p>", "</p>", "<td><b>", "<script>", "&#"):
+        start = time.process_time()
+        html_text.main_text(part * 100_000)
+        assert time.process_time() - start < 10, part
+    start = time.process_time()
+    html_text.main_text("<x><td>" + "<b>" * 50_000 + "</x>" * 50_000)
+    html_text.main_text("<a" * 500_000)
+    assert time.process_time() - start < 5
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 

@@ -1,34 +1,37 @@
 """Main text of web pages by tag-path ratios.
 
-Each text block has a path of tags from the root. Per page and path, text length and punctuation for each block are
-summed up, smoothed over neighbouring paths in page order, multiplied, and compared with a threshold; paths above it
-mark content, and the element that holds the strongest path is taken whole, so that short paragraphs between long ones
-stay. Elements that hold no article text by name or role (menus, forms, adverts, comments and the like) do not count.
+Each text block hangs at the end of a path of tags from the root. Over a page, the blocks of a path give it two ratios:
+text length for each block and punctuation for each block. Their product scores the path. Scores are smoothed over the
+tree of elements: a block takes part of the score of what stands in the same container, so that headings and short
+paragraphs between long ones stay. Blocks at a fifth of the page's best score or more are its content. Names and roles
+of elements are only prior factors of a score: a menu, a form or an aside needs fifty times the ratio of the rest to
+count as content. Scripts and other text that no reader sees are no blocks, nor are adverts, consent texts and reader
+comments, which no ratio tells from an article.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+from .wordhash import slices
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose text is not markup, or that no reader sees; all up to their end tag is left out.
 _RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
+_UNSEEN = frozenset("head svg object canvas select button option".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table "
     "tbody td tfoot th thead title tr ul".split()
 )
-#: Elements without article text.
-_NEVER = frozenset("head nav header footer aside form dialog menu select button script style noscript template iframe textarea title svg object canvas".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Class or id tokens of elements without article text: names, with words of place or shape beside them at most.
-#: Comments, consent texts and adverts stay out however long they are; the others do not if they hold most of the page.
+#: Class or id tokens of elements that seldom hold article text: names, with words of place or shape beside them at most.
 _OUT = r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|cookies?|consent|comments?|disqus|replies"
 _NAME = (
     rf"(?:{_OUT}|banner|promo(?:tion)?|sidebar|notices?|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|shar(?:e|ing)|"
@@ -37,162 +40,230 @@ _NAME = (
 _PLACE = r"(?:site|page|global|main|primary|secondary|top|bottom|left|right|inner|outer|box|block|bar|area|section|container|wrap(?:per)?|list|items?|links?|buttons?|form|post|text|slot|unit|[0-9]+)"
 _NAMES = re.compile(rf"(?:^|\s)(?:{_PLACE}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_PLACE}))*(?!\S)", re.IGNORECASE)
 _OUT_NAMES = re.compile(rf"(?:^|[\s_-])(?:{_OUT})(?![^\s_-])", re.IGNORECASE)
-#: Elements around articles: no name of theirs keeps text out.
+#: Elements around articles: no name of theirs says anything.
 _AROUND = frozenset("html body main article".split())
+_SELDOM = frozenset("nav header footer aside form dialog menu".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _LABEL = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-#: An opening tag that ends these elements, where they are open.
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: An opening tag that ends these elements, where they are open, up to an element that holds them.
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_KINDS = {"<block>": _BLOCK, "<holder>": frozenset("ul ol dl table".split()), "<fence>": frozenset("td th table article body".split())}
+_OUTER = frozenset("table tr tbody thead tfoot article main section div body html".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 _SPACE = re.compile(r"\s+")
+_NAME_AT = re.compile(r"[A-Za-z][^\s/>]*")
+_TAG_STOP = re.compile(r">|=\s*([\"'])")
+#: References to numbers that are no code points, which may be too long to read, and zeros before a number.
+_ZEROS, _HUGE = re.compile(r"&#([xX]?)0{6,}"), re.compile(r"&#(?:[1-9][0-9]{8,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{8,});?")
+#: Prior factors: of elements that seldom hold article text, and of what stands outside an article that holds the best path.
+SELDOM, OUTSIDE = 0.02, 0.05
+#: What a block takes of the score of its container, and a container of the score of one inside it.
+_OF_CONTAINER, _OF_INNER, _OF_INNER_IN_ARTICLE = 0.5, 0.3, 0.7
+#: The least score of a page whose blocks all stand in elements that seldom hold article text.
+_PROSE = 100.0
+
+
+class _Element:
+    """An open or closed element: its tag path's number, its prior, whether an article or main is around it."""
+
+    __slots__ = ("name", "up", "path", "prior", "inside", "direct", "value", "held", "weak")
+
+    def __init__(self, name, up, path, prior, inside, weak):
+        self.name, self.up, self.path, self.prior, self.inside, self.weak = name, up, path, prior, inside, weak
+        self.direct = self.value = 0.0
+        self.held = 0
+
+
+def _prior(name: str, labels: str) -> tuple[float, bool]:
+    """The prior factor of an element, and whether only a name or a form asks for it, so that an element with most of
+    the page's text goes without."""
+    if name in _UNSEEN:
+        return 0.0, False
+    found, weak = (SELDOM, name == "form") if name in _SELDOM else (1.0, False)
+    if labels:
+        for m in _LABEL.finditer(labels):
+            kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if kind == "hidden" or (kind == "aria-hidden" and value == "true"):
+                return 0.0, False
+            if kind == "role" and value.lower() in _ROLES:
+                found, weak = SELDOM, False
+            if kind in ("class", "id") and name not in _AROUND and (named := _NAMES.search(value)):
+                if _OUT_NAMES.search(named[0]):
+                    return 0.0, False
+                if found == 1.0:
+                    found, weak = SELDOM, True
+    return found, weak
+
+
+def _decoded(parts: list[str]) -> str:
+    text = "".join(parts)
+    if "&" in text:
+        text = html.unescape(_HUGE.sub("\ufffd", _ZEROS.sub(r"&#\g<1>0", text)))
+    return _SPACE.sub(" ", text).strip()
 
 
-def _unwanted(name: str, labels: str) -> int:
-    """0: may hold article text; 1: not, unless it holds most of the page's text; 2: not."""
-    if name in _NEVER:
-        return 2
-    if not labels.strip():
-        return 0
-    found = 0
-    for m in _LABEL.finditer(labels):
-        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "role" and value.lower() in _ROLES):
-            return 2
-        if kind in ("class", "id") and name not in _AROUND and (named := _NAMES.search(value)):
-            found = max(found, 2 if _OUT_NAMES.search(named[0]) else 1)
-    return found
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
-    """(path, whether it may be content, text) of each block with text, in page order; references are decoded."""
-    out: list[tuple[tuple[str, ...], int | None, str]] = []
-    outer = [0]  # for each element that only a name keeps out, the next one around it; 0: none
-    stack: list[tuple[str, int | None]] = []  # element, and the innermost such element; None: no content
+def _tag_end(page: str, at: int, lost: set[str]) -> tuple[int, int]:
+    """Where the attributes of a tag end and the text after it begins. Quotes that nothing closes are no quotes."""
+    k = at
+    while m := _TAG_STOP.search(page, k):
+        if not m[1]:
+            return m.start(), m.end()
+        close = -1 if m[1] in lost else page.find(m[1], m.end())
+        if close < 0:
+            lost.add(m[1])
+        k = max(m.end(), close + 1)
+    return len(page), len(page)
+
+
+def blocks(page: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
+    """Text blocks in page order with the innermost block element of each, and all block elements, outer ones first. A
+    path is numbered by the path around it, its tag and whether its prior is below 1; references are decoded. The time
+    is linear in the page."""
+    root = _Element("", None, 0, 1.0, False, False)
+    out: list[tuple[_Element, str]] = []
+    elements, numbers = [root], {}
+    stack: list[tuple[str, _Element]] = [("", root)]
+    places: dict[str, list[int]] = defaultdict(list)  # where elements of a name, or of a kind, are on the stack
     text: list[str] = []
-    low = None
+    lost: set[str] = set()
 
     def flush() -> None:
-        joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-        text.clear()
-        if joined:
-            path = tuple(x for x, _ in stack if x in _BLOCK)
-            out.append((path, stack[-1][1] if stack else 0, joined))
+        if text:
+            joined = _decoded(text)
+            text.clear()
+            if joined:
+                out.append((stack[-1][1], joined))
+
+    def last(kind: str) -> int:
+        return places[kind][-1] if places[kind] else 0
 
     def close(at: int) -> None:
-        if any(x in _BLOCK for x, _ in stack[at:]):
+        if last("<block>") >= at:
             flush()
+        for name, _ in stack[at:]:
+            places[name].pop()
+            for kind, names in _KINDS.items():
+                if name in names:
+                    places[kind].pop()
         del stack[at:]
 
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0:
             text.append(page[at:])
             break
-        text.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if begin > at:
+            text.append(page[at:begin])
+        sign = page[begin + 1 : begin + 2]
+        if sign == "!" or sign == "?":
+            comment = page.startswith("<!--", begin)
+            end = page.find("-->" if comment else ">", begin + 2)
+            at = n if end < 0 else end + (3 if comment else 1)
+            continue
+        closing = sign == "/"
+        m = _NAME_AT.match(page, begin + 1 + closing)
+        if not m:
+            text.append("<")
+            at = begin + 1
             continue
-        name = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if stack[k][0] in ("td", "th", "table", "article", "body") and name not in ("table", "tr", "tbody", "thead", "tfoot", "article", "main", "section", "div", "body", "html"):
-                    break
+        name = m[0].lower()
+        end, at = _tag_end(page, m.end(), lost)
+        if closing:
+            k = last(name)
+            if k and (name in _OUTER or last("<fence>") <= k):
+                close(k)
             continue
         if name in ("br", "wbr"):
             text.append(" " if name == "br" else "")
             continue
         if name in _RAW:
-            low = low or page.lower()
-            end = low.find(f"</{name}", at)
-            at = n if end < 0 else end
-            stop = page.find(">", at)
-            at = n if stop < 0 else stop + 1
+            stop = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            at = n if stop is None else _tag_end(page, stop.end(), lost)[1]
             continue
         if name in _BLOCK:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in _BLOCK:
-                    break
-            if ends := _ENDS.get(name):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        close(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
-                        break
+            if last("p") and last("<block>") == last("p"):
+                close(last("p"))
+            if (k := max(map(last, _ENDS.get(name, ())), default=0)) > last("<holder>"):
+                close(k)
             flush()
-        if name not in _VOID and not m[3].endswith("/"):
-            around = stack[-1][1] if stack else 0
-            ban = 2 if around is None else _unwanted(name, m[3])
-            if ban == 1:
-                outer.append(around)
-            stack.append((name, None if ban == 2 else len(outer) - 1 if ban else around))
+        if name not in _VOID and page[end - 1] != "/":
+            up = stack[-1][1]
+            prior, weak = _prior(name, page[m.end() : end])
+            if name in _BLOCK or prior < 1:
+                number = numbers.setdefault((up.path, name, prior < 1), len(numbers) + 1)
+                element = _Element(name, up, number, prior, up.inside or name in ("article", "main"), weak)
+                elements.append(element)
+            else:
+                element = up
+            places[name].append(len(stack))
+            for kind, names in _KINDS.items():
+                if name in names:
+                    places[kind].append(len(stack))
+            stack.append((name, element))
     flush()
-    held = [0] * len(outer)
-    for _, around, joined in out:
-        if around is not None:
-            held[around] += len(joined)
-    for k in range(len(outer) - 1, 0, -1):
-        held[outer[k]] += held[k]
-    # what holds most is held by elements that hold as much
-    return [(path, around is not None and (not around or 2 * held[around] > held[0]), joined) for path, around, joined in out]
-
-
-def path_scores(found: list[tuple[tuple[str, ...], bool, str]]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of each path: text length for each block times punctuation for each block, both smoothed."""
-    order: dict[tuple[str, ...], list[float]] = {}
-    for path, may, text in found:
-        if may:
-            sums = order.setdefault(path, [0, 0.0, 0.0])
-            sums[0] += 1
-            sums[1] += len(text)
-            sums[2] += len(_PUNCTUATION.findall(text))
-    rows = [(length / n, marks / n) for n, length, marks in order.values()]
-
-    def smooth(k: int, at: int) -> float:
-        near = [(rows[j][k], 1.0 if j == at else 0.25) for j in (at - 1, at, at + 1) if 0 <= j < len(rows)]
-        return sum(v * w for v, w in near) / sum(w for _, w in near)
-
-    return {path: smooth(0, i) * (0.1 + smooth(1, i)) for i, path in enumerate(order)}
-
-
-def _holder(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The element around a path's blocks: the outermost article or main in it, else the parent."""
-    for kind in ("article", "main"):
-        if kind in path:
-            return path[: path.index(kind) + 1]
-    return path[:-1] if len(path) > 1 else path
-
-
-def main_text(page: str | None, share: float = 0.5) -> str:
-    """The page's content blocks joined by newlines; paths count as content from `share` of the mean score on."""
-    found = blocks(page or "")
-    scores = path_scores(found)
-    if not scores:
+    return out, elements
+
+
+def block_scores(out: list[tuple[_Element, str]], elements: list[_Element]) -> list[float]:
+    """The smoothed score of each block, its prior included."""
+    sums: dict[int, list[float]] = {}
+    for e, text in out:
+        e.held += len(text)
+    for e in reversed(elements[1:]):
+        e.up.held += e.held
+    for e in elements[1:]:  # an element's prior times those around it
+        own = 1.0 if e.weak and 2 * e.held > elements[0].held else e.prior
+        e.prior, e.weak = e.up.prior * own, own < 1
+    for e, text in out:
+        if e.prior:
+            one = sums.setdefault(e.path, [0, 0, 0])
+            one[0] += 1
+            one[1] += len(text)
+            one[2] += len(_PUNCTUATION.findall(text))
+    ratio = {path: length / n * (0.1 + marks / n) for path, (n, length, marks) in sums.items()}
+    for e, _ in out:
+        if e.prior:
+            e.direct = max(e.direct, ratio[e.path])
+    for e in reversed(elements[1:]):  # what a container holds, best first: its own blocks, theirs around it, inner ones
+        e.value = max(e.value, e.direct)
+        if not e.weak:
+            share = _OF_INNER_IN_ARTICLE if e.up.inside else _OF_INNER
+            e.up.value = max(e.up.value, e.direct, share * e.value)
+    for e in elements[1:]:
+        if e.up.inside and not e.weak:
+            e.value = max(e.value, e.up.value)
+    raw = [ratio.get(e.path, 0.0) for e, _ in out]
+    scores = [e.prior * max(r, _OF_CONTAINER * max(e.value, e.up.value if e.up and not e.weak else 0.0)) for (e, _), r in zip(out, raw, strict=True)]
+    if scores:
+        best = max(range(len(scores)), key=scores.__getitem__)
+        if out[best][0].inside:
+            scores = [s if e.inside else OUTSIDE * s for s, (e, _) in zip(scores, out, strict=True)]
+    return scores
+
+
+def main_text(page: str | None, share: float = 0.2) -> str:
+    """The page's content blocks joined by newlines: those with at least `share` of the best score. A page whose blocks
+    all stand in menus, forms and the like has content only from a score of prose on."""
+    out, elements = blocks(page or "")
+    scores = block_scores(out, elements)
+    best = max(scores, default=0.0)
+    if best <= 0 or (best < SELDOM * _PROSE and all(e.prior < 1 for e, _ in out)):
         return ""
-    least = share * sum(scores.values()) / len(scores)
-    best = max(scores, key=scores.get)
-    holder = _holder(best)
-    inside = lambda path: path[: len(holder)] == holder
-    marked = any(x in ("article", "main") for x in holder)
-    chosen = {p for p, s in scores.items() if inside(p) or (not marked and s >= least)}
-    return "\n".join(text for path, may, text in found if may and path in chosen)
+    return "\n".join(text for (_, text), s in zip(out, scores, strict=True) if s >= share * best)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(x) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
+        for a, b in slices(batch.column(2)):
+            texts = [main_text(x.as_py()) for x in batch.column(2).slice(a, b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(texts, pa.string())], ["id", "url", "text"])
 
 
 def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """id_column, url_column and text of every page, one row for each input row. Null or empty html: empty text. Ids and
-    urls may be null or repeat; an empty table gives an empty result; other columns are left out."""
+    urls may be null or repeat; the time for a page, however long, is linear in it; an empty table gives an empty result;
+    other columns are left out."""
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_run, f"id {kind}, url string, text string").withColumnsRenamed({"id": id_column, "url": url_column})
