@@ -303,6 +303,77 @@ def test_op7_substitutions(spark):
     assert spaced_seeds.contaminated(empty(spark), bench).count() == 0 and spaced_seeds.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def _overlaps(docs, items):
+    """Every diagonal of every document and item, by the rules of contaminated()."""
+    import re
+
+    words = lambda t: [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+    out = set()
+    for i, t in docs:
+        w = words(t)
+        for k, b in items:
+            item, found, runs = words(b), defaultdict(set), False
+            n = len(item)
+            for shift in range(-n + 1, len(w)):
+                equal = [j for j in range(n) if 0 <= j + shift < len(w) and w[j + shift] == item[j]]
+                if n < 10 and len(equal) < n:
+                    continue
+                for drift in (shift // 32 * 2, (shift + 16) // 32 * 2 + 1):
+                    found[drift].update(equal)
+                runs |= any(equal[x + 10] - equal[x] <= 12 for x in range(len(equal) - 10))
+            matched = max(map(len, found.values()), default=0)
+            if n and (runs or (matched >= min(8, n) and 2 * matched >= n)):
+                out.add((i, k))
+    return out
+
+
+def test_op7_against_brute_force(spark, monkeypatch):
+    rng = random.Random(14)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randint(0, 900)}"
+    some = lambda n: [word() for _ in range(n)]
+    lengths = [1, 2, 5, 8, 9, 10, 12, 15, 15, 20, 24, 25, 40, 59, 200]
+    items = [(k, some(n)) for k, n in enumerate(lengths)]
+    docs = []
+    for k, item in items:
+        at = lambda body: " ".join([*some(rng.randint(0, 40)), *body, *some(rng.randint(0, 40))])
+        docs.append((100 + k, at(item)))  # whole
+        changed = list(item)
+        for j in rng.sample(range(len(item)), len(item) // 5):
+            changed[j] = "other"
+        docs.append((200 + k, at(changed)))  # one word in five is another
+        docs.append((300 + k, at([*item[: len(item) // 2], *some(3), *item[len(item) // 2 :]])))  # words put in
+        docs.append((400 + k, at(item[10:30])))  # a part
+    docs += [(500, " ".join(some(3000))), (501, None), (502, ""), (None, " ".join(items[9][1])), (100, " ".join(some(50)))]
+    text = lambda x: ", ".join(x).upper()
+    bench = [(k, text(x)) for k, x in items] + [(None, text(items[7][1])), (0, None), (3, text(some(30))), (99, "")]
+    df, bf = docs_of(spark, [*docs, docs[0]]), spark.createDataFrame([(*b, "x", "y") for b in bench], "item_id long, text string, words string, id string")
+    # seeds meet all but a few of the overlaps that brute force finds, and nothing else
+    want = {(str(i), str(k)) for i, k in _overlaps(docs, [(k, t) for k, t in bench if t])}
+    for rows in (spaced_seeds.BROADCAST_ROWS, 10):
+        monkeypatch.setattr(spaced_seeds, "BROADCAST_ROWS", rows)
+        found = spaced_seeds.contaminated(df, bf).collect()
+        got = {(str(r["doc_id"]), str(r["item_id"])) for r in found}
+        assert got <= want and len(got) >= 0.97 * len(want), (want - got, got - want)
+        assert all((str(100 + k), str(k)) in got for k in range(len(lengths))) and len(found) == len({tuple(r) for r in found})
+    assert ("413", "13") in got and ("414", "14") in got
+    assert not {i for i, k in got if k == "2"} - {"102", "202", "None"} and spaced_seeds.contaminated(df, bf, shortest=5).filter("item_id < 2").count() == 0
+
+
+def test_op7_short_items_with_substitutions(spark):
+    rng = random.Random(15)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    items, docs = [], []
+    for k in range(400):
+        item = [word() for _ in range((15, 20)[k % 2])]
+        changed = list(item)
+        for j in rng.sample(range(len(item)), (4, 5)[k % 2]):
+            changed[j] = "other"
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(changed)))
+    got = spaced_seeds.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert got.filter("doc_id = item_id").count() >= 396
+
+
 def test_op8_packs_whole_documents(spark, texts):
     capacity = 64
     got = best_fit_packing.pack_documents(docs_of(spark, texts), capacity).collect()
