@@ -277,6 +277,15 @@ def test_op6_learns(spark):
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 400 and r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in held)
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.95 * len(held)
+    # the label model alone, and what it learns where one row in eight has a label
+    import pyarrow as pa
+
+    few = [x for k, x in enumerate(labels) if k % 8 < 2]
+    model = toxicity.train(docs_of(spark, rows), spark.createDataFrame(few, "doc_id long, quality int, toxic int"))
+    alone = model.posteriors(pa.array([t for _, t in rows[:400]]))
+    assert sum((p >= 0.5) == (k % 5 == 0) for k, p in enumerate(alone)) >= 380 and 0.1 < model.labels.prior < 0.3
+    clash = spark.createDataFrame([(*x, "a", "b") for x in labels], "doc_id long, quality int, toxic int, text string, label string")
+    assert toxicity.toxicity(docs_of(spark, rows), clash).count() == len(rows) and toxicity.toxicity(empty(spark), clash).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(docs_of(spark, rows), none).count() == len(rows)
 
