@@ -71,8 +71,71 @@ def test_ngrams_count_as_the_sliding_buffer(entries, log):
 
 
 def test_burst_cadence():
-    hits = dx.burst_hits([(i, 100) for i in range(1, 81)], Params())
+    hits = dx.burst_hits(deque(), [(i, 100) for i in range(1, 81)], Params())
     assert [h[0] for h in hits] == [20, 21, 31, 32, 42, 43, 53, 54, 64, 65, 75, 76]
+    assert hits[0][5] == [16, 17, 18, 19, 20] and hits[2][5] == [27, 28, 29, 30, 31]
+
+
+def test_bursts_in_parts_are_one_fold(spark):
+    """Gaps longer than the window part a signature's rows; times may run back."""
+    from pyspark.sql import functions as F
+
+    rng, at, rows = random.Random(17), 10_000, []
+    for seq in range(900):
+        at += rng.choice([0, 1, 2, -15, 25, 200])
+        rows.append((seq, at, 4, rng.choice("ab"), "same text"))
+    p = Params(burst_repeats=4)
+    got = dx.bursts(spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("ts_sec")), p).collect()
+    want = []
+    for source in "ab":
+        want += [(h[0], source, *h[2:]) for h in dx.burst_hits(deque(), [(x[0], x[1]) for x in rows if x[3] == source], p)]
+    assert sorted((r["seq"], r["source"], r["n"], r["first_sec"], r["last_sec"], r["samples"]) for r in got) == sorted(want) and want
+
+
+def test_a_source_with_most_rows_is_many_groups(spark, monkeypatch):
+    """Nine rows in ten come from one source; chunks and slices are small, and the values those of one fold."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(dx, "CHUNK", 150)
+    rng, at, rows = random.Random(19), 1_700_000_000, []
+    for seq in range(2500):
+        at += rng.choice([0, 1, 3, 20, 90])
+        rows.append((seq, at, 2, "hot" if rng.random() < 0.9 else "cold", "m"))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("ts_sec"))
+    assert dx._sliced(df, 600).filter("source = 'hot'").select("_slice").distinct().count() > 10
+    got = {r["seq"]: r for r in dx.rates(df).collect()}
+    counts = {r["seq"]: (r["short"], r["baseline"]) for r in dx.spike_counts(df).collect()}
+    assert len(got) == len(counts) == len(rows)
+    for source in ("hot", "cold"):
+        held, seen = deque(), []
+        for seq, at, _, own, _ in rows:
+            if own != source:
+                continue
+            held.append(at)
+            while at - held[0] > 600:
+                held.popleft()
+            seen.append(len(held) / 10 if len(held) < 2 else len(held) / max(1, held[-1] - held[0]) * 60)
+            n = len(seen)
+            mean = sum(seen) / n
+            sigma = (sum((x - mean) ** 2 for x in seen) / (n - 1)) ** 0.5 if n > 1 else 0
+            r = got[seq]
+            assert counts[seq] == (sum(at - x <= 60 for x in held), len(held))
+            assert (r["n"], r["recent"]) == (n, len(held)) and r["mean"] == pytest.approx(mean) and r["moving_average"] == pytest.approx(sum(seen[-100:]) / len(seen[-100:]))
+            assert r["z"] == pytest.approx(0 if n < 10 or sigma < 1e-9 else (seen[-1] - mean) / sigma, abs=1e-6)
+
+
+def test_ngram_examples_are_the_newest(entries, log):
+    p = Params(ngram_window=4)
+    top = ng.top_patterns(ng.ngram_counts(entries, p), 5)
+    buffer, seen = deque(maxlen=4), {r["pattern"]: [] for r in top.collect()}
+    for seq, _, level, source, message in log:
+        buffer.append(f"{source}:{level}:{' '.join(message.split()[:3])[:20]}")
+        for n in range(2, 5):
+            for i in range(len(buffer) - n + 1):
+                pattern = "->".join(list(buffer)[i : i + n])
+                if pattern in seen:
+                    seen[pattern].append(seq)
+    assert {r["pattern"]: r["examples"] for r in ng.ngram_examples(entries, top, p).collect()} == {k: v[-3:] for k, v in seen.items()}
 
 
 def test_late_events_and_windows(spark):

@@ -75,7 +75,7 @@ def escape_csv(c: Column) -> Column:
 
 def escape_json(c: Column) -> Column:
     body = F.to_json(F.struct(c.alias("v")))
-    return F.expr("NULL").cast("string") if c is None else F.regexp_extract(body, r'(?s)^\{"v":"(.*)"\}$', 1)
+    return F.regexp_extract(body, r'(?s)^\{"v":"(.*)"\}$', 1)
 
 
 def message_hash(message: Column, words: int = 3) -> Column:
@@ -96,7 +96,7 @@ def normalize_error(message: Column) -> Column:
 
 
 def burst_signature(source: Column, level: Column, message: Column) -> Column:
-    return F.concat_ws("|", F.coalesce(source, F.lit("")), level.cast("string"), normalize_message(message))
+    return F.concat_ws("|", F.coalesce(source, F.lit("unknown")), level.cast("string"), normalize_message(message))
 
 
 def first_ip(message: Column) -> Column:
@@ -108,9 +108,11 @@ def all_ips(text: Column) -> Column:
 
 
 def pattern_token(source: Column, level: Column, message: Column) -> Column:
-    """source:level:prefix, where prefix is the first three words, at most 20 characters."""
+    """source:level:prefix, where prefix is the first three words, at most 20 bytes; a character that the cut parts is
+    the replacement character, as strings are whole characters here."""
     words = F.filter(F.transform(F.split(message, " "), trim), lambda x: x != "")
-    prefix = F.substring(F.array_join(F.slice(words, 1, 3), " "), 1, 20)
+    joined = F.array_join(F.slice(words, 1, 3), " ")
+    prefix = F.when(F.octet_length(joined) <= 20, joined).otherwise(F.decode(F.substring(joined.cast("binary"), 1, 20), "UTF-8"))
     return F.concat_ws(":", F.coalesce(source, F.lit("")), level.cast("string"), prefix)
 
 

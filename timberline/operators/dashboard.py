@@ -103,8 +103,9 @@ def service_correlation(entries: DataFrame, k: int = 20) -> DataFrame:
     return pairs.select("a", "b", F.when(below > 0, top_part / below).alias("correlation"))
 
 
-def minute_features(entries: DataFrame) -> DataFrame:
-    series = minute_rollup(entries)
+def minute_features(entries: DataFrame, p: Params = Params()) -> DataFrame:
+    """Level counts and unique sources and addresses of each minute, without a partial last one."""
+    series = drop_partial_minute(minute_rollup(entries), entries, p)
     return series.join(minute_uniques(entries), "minute", "left").fillna(0)
 
 

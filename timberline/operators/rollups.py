@@ -22,6 +22,13 @@ def level_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("level").agg(F.count("*").alias("n"))
 
 
+def level_counts_with_anomalies(entries: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """level, n and anomalies, the count of a table's rows that name the entries by seq."""
+    hits = anomalies.filter("seq IS NOT NULL").groupBy("seq").agg(F.count("*").alias("hits"))
+    rows = entries.select("seq", "level").join(hits, "seq", "left")
+    return rows.groupBy("level").agg(F.count("*").alias("n"), F.coalesce(F.sum("hits"), F.lit(0)).alias("anomalies"))
+
+
 def source_stats(entries: DataFrame) -> DataFrame:
     return entries.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("level").isin(4, 5)).alias("errors"), F.count_if(F.col("level") == 3).alias("warnings"))
 

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.text import level_name
 from timberline.operators.parsing import parse_lines
 
 
+#: Bits of seq for a line's place in its part of a file; the part's place takes those above.
+_LINE_BITS = 33
+
+
 def read_lines(spark: SparkSession, path: str, strip_cr: bool = False) -> DataFrame:
-    """value and seq (file order) of the non-empty lines."""
-    rows = spark.read.text(path, lineSep="\n").withColumn("seq", F.monotonically_increasing_id())
+    """value and seq of the non-empty lines. seq ascends by file name, by part of a file, and by line in it; lines of a
+    part are read in order by one task, whatever files its task holds besides."""
+    rows = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    rows = rows.withColumn("_key", F.xxhash64("_file", "_start"))
     value = F.regexp_replace("value", "\r$", "") if strip_cr else F.col("value")
-    return rows.withColumn("value", value).filter(F.length("value") > 0)
+    # one row of numbers for each part of a file (some 128 MB): its first line's number, and its place among all parts
+    parts = rows.groupBy("_file", "_start", "_key").agg(F.min("_id").alias("_first"))
+    parts = parts.select("_key", "_first", (F.row_number().over(Window.orderBy("_file", "_start")) - 1).alias("_part"))
+    rows = rows.join(F.broadcast(parts), "_key")
+    seq = F.shiftleft(F.col("_part").cast("long"), _LINE_BITS) + F.col("_id") - F.col("_first")
+    return rows.select(value.alias("value"), seq.alias("seq")).filter(F.length("value") > 0)
 
 
 def read_logs(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -47,8 +59,17 @@ def read_timeseries(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns(numbers | {"minute": minute}).filter("minute IS NOT NULL").drop("minute_iso").orderBy("minute")
 
 
+_ENTRY_COLUMNS = "timestamp_iso string, level string, source string, message string"
+
+
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.csv(path, header=True, quote='"', escape="\\", multiLine=True)
+    """Exported entries with their times; a missing file holds none."""
+    try:
+        rows = spark.read.csv(path, header=True, quote='"', escape="\\", multiLine=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], _ENTRY_COLUMNS)
     return rows.withColumn("ts", F.try_to_timestamp("timestamp_iso", F.lit("yyyy-MM-dd'T'HH:mm:ss"))).filter("ts IS NOT NULL")
 
 
