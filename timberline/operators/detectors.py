@@ -80,7 +80,7 @@ def rates(entries: DataFrame, p: Params = Params()) -> DataFrame:
     average's rows, then carry the count, mean and squares of the chunks before them. No task sees a whole source.
     """
     rows = _rates_alone(entries, p)
-    sizes = rows.groupBy("source", "_slice").agg(F.count("*").alias("_rows"))
+    sizes = _sliced(entries, p.rate_window).filter("_own").groupBy("source", "_slice").agg(F.count("*").alias("_rows"))
     upto = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("source", "_slice", F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_before"))
     rows = rows.withColumn("_at", F.row_number().over(_slice_window().orderBy("ts_sec", "seq"))).join(sizes, ["source", "_slice"])

@@ -97,6 +97,23 @@ def _gaps(column: str) -> str:
 SELECT minute, {column} FROM g UNION ALL SELECT before + INTERVAL 1 MINUTE, NULL FROM g WHERE epoch(minute) - epoch(before) > 300"""
 
 
+def _text_columns(entries):
+    word = F.get(tx.split_whitespace(F.col("message")), 2)
+    return entries.select(
+        "seq",
+        tx.ltrim(F.concat(F.lit(" \t"), "message")).alias("left_trimmed"),
+        tx.rtrim(F.concat("message", F.lit("\n "))).alias("right_trimmed"),
+        tx.iequals(F.col("source"), F.upper("source")).alias("same"),
+        tx.join(tx.split_and_trim(F.concat("source", F.lit(" , ,"), "message"), ","), "|").alias("pieces"),
+        tx.parse_integer(F.concat(F.lit(" "), word)).alias("number"),
+        tx.parse_float(F.concat(word, F.lit(".5"))).alias("fraction"),
+        tx.parse_integer(F.col("source")).alias("no_number"),
+        tx.escape_json(F.concat("message", F.lit('"\n'))).alias("json"),
+        tx.safe_title(F.col("message"), 12).alias("title"),
+        tx.pattern_token(F.col("source"), F.col("level"), F.col("message")).alias("token"),
+    )
+
+
 def _joined(df, name):
     return df.withColumn(name, F.array_join(F.col(name).cast("array<string>"), ","))
 
@@ -171,6 +188,9 @@ SELECT seq, 'errors' AS rule_id, 0.7 AS score, 'CRITICAL' AS priority FROM n WHE
     "level_counts_with_anomalies": (lambda s, d: ru.level_counts_with_anomalies(_entries(s, d), dx.online_anomalies(_entries(s, d), WIDE)), _ONLINE + ", h AS (SELECT seq, count(*) AS hits FROM online GROUP BY 1) SELECT level, count(*) AS n, CAST(coalesce(sum(hits), 0) AS BIGINT) AS anomalies FROM e LEFT JOIN h USING (seq) GROUP BY 1"),
     "document_ips": (lambda s, d: ru.ip_counts(s.read.parquet(f"{d}/documents.parquet").select(F.col("text").alias("message"), "source")), f"SELECT ip, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || ' ' || source, {_IP})) AS ip FROM documents) GROUP BY 1"),
     "string_functions": (lambda s, d: _entries(s, d).select("seq", tx.trim(F.concat(F.lit(" \t"), "message", F.lit("\n "))).alias("trimmed"), tx.replace_all(F.col("message"), "user", "account").alias("replaced"), tx.starts_with(F.col("message"), "ERR", False).alias("starts"), tx.ends_with(F.col("message"), "1").alias("ends"), F.size(tx.split_whitespace(F.col("message"))).cast("long").alias("words"), tx.join(tx.split(F.col("message"), " "), "|").alias("joined"), tx.escape_csv(F.concat("message", F.lit(',"x"'))).alias("csv")), f"""{E} SELECT seq, message AS trimmed, replace(message, 'user', 'account') AS replaced, starts_with(lower(message), 'err') AS starts, ends_with(message, '1') AS ends, CAST(len(string_split(message, ' ')) AS BIGINT) AS words, replace(message, ' ', '|') AS joined, '"' || message || ',""x""' || '"' AS csv FROM e"""),
+    "more_string_functions": (lambda s, d: _text_columns(_entries(s, d)), f"""{E}, w AS (SELECT *, string_split(message, ' ')[3] AS word FROM e)
+SELECT seq, message AS left_trimmed, message AS right_trimmed, true AS same, source || '|' || message AS pieces, CAST(word AS BIGINT) AS number, CAST(word AS DOUBLE) + 0.5 AS fraction, NULL::BIGINT AS no_number,
+message || '\\"\\n' AS json, CASE WHEN length(message) > 12 THEN substr(message, 1, 11) || '…' ELSE message END AS title, source || ':' || level || ':' || substr(array_to_string(string_split(message, ' ')[1:3], ' '), 1, 20) AS token FROM w"""),
     "time_functions": (lambda s, d: _entries(s, d).select("seq", dt.iso8601(F.col("ts")).alias("iso"), dt.parse_seconds(dt.iso8601(F.col("ts"))).alias("parsed"), dt.millis(F.col("ts")).alias("millis"), dt.minute(F.col("ts")).alias("minute"), dt.in_window(F.col("ts"), dt.minute(F.col("ts")), F.col("ts")).alias("inside")), f"{E} SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, ts_sec AS parsed, ts_sec * 1000 AS millis, {_M} AS minute, false AS inside FROM e"),
 }
 
