@@ -90,7 +90,8 @@ def common_lines(lines: DataFrame, least_documents: int, share: float) -> DataFr
 def near_classes(docs: DataFrame, contents: DataFrame, text_column: str) -> DataFrame:
     """(content, class) for the texts among contents that have near copies there: class is the same for all of them."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("content"), text.alias("text")).join(contents, "content", "left_semi")
+    # equal texts go once from each task, and once in all
+    texts = docs.select(F.xxhash64(text).alias("content"), text.alias("text")).dropDuplicates(["content"]).join(contents, "content", "left_semi")
     grams = lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))))
     hashes = texts.select("content", F.explode(_let(words_of(F.col("text")), grams)).alias("h"))
     least = hashes.groupBy("content").agg(*(F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(SKETCH)))
@@ -123,7 +124,8 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     windows) or depleted: without its common lines, under least_left of its words are left. Documents with equal texts
     count as one where lines are counted, so that copies, which a later step removes, do not make their own lines
     common. Null text: empty, so it fails. A null host is a host. Repeated rows come back as often, with equal values;
-    ids may be null; other columns are left out.
+    ids may be null; a very long text takes time in proportion to its words, in one task; an empty table gives an empty
+    result; other columns are left out.
     """
     rows = measures(docs, id_column, text_column, host_column)
     lines = lines_of(docs, id_column, text_column, host_column)
