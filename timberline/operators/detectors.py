@@ -34,14 +34,21 @@ def _slice_window():
     return Window.partitionBy("source", "_slice")
 
 
-def _recent(seconds: int) -> Column:
-    """Rows of the same source up to this one that are at most so old; over _sliced rows."""
-    older = F.count("*").over(_slice_window().orderBy("ts_sec").rangeBetween(Window.unboundedPreceding, -(seconds + 1)))
-    return F.row_number().over(_slice_window().orderBy("ts_sec", "seq")) - older
+def _recent(seconds: int, rows) -> Column:
+    """Rows of the same group up to this one that are at most so old; groups are slices or whole sources."""
+    older = F.count("*").over(rows.orderBy("ts_sec").rangeBetween(Window.unboundedPreceding, -(seconds + 1)))
+    return F.row_number().over(rows.orderBy("ts_sec", "seq")) - older
+
+
+def _rate(p: Params, rows) -> dict[str, Column]:
+    first = F.min("ts_sec").over(rows.orderBy("ts_sec").rangeBetween(-p.rate_window, 0))
+    recent = _recent(p.rate_window, rows)
+    span = F.greatest(F.lit(1e-6), F.greatest(F.lit(1), F.col("ts_sec") - first) / 60)
+    return {"recent": recent, "rate": F.when(recent < 2, recent * 60 / p.rate_window).otherwise(recent / span)}
 
 
 def spike_counts(entries: DataFrame, p: Params = Params()) -> DataFrame:
-    rows = _sliced(entries, max(p.spike_short, p.spike_baseline)).withColumns({"short": _recent(p.spike_short), "baseline": _recent(p.spike_baseline)})
+    rows = _sliced(entries, max(p.spike_short, p.spike_baseline)).withColumns({"short": _recent(p.spike_short, _slice_window()), "baseline": _recent(p.spike_baseline, _slice_window())})
     rows = rows.filter("_own").drop("_slice", "_own")
     return rows.withColumn("ratio", (F.col("short") / p.spike_short) / (F.col("baseline") / p.spike_baseline))
 
@@ -67,18 +74,27 @@ def spike_status(entries: DataFrame, p: Params = Params()) -> DataFrame:
 
 def _rates_alone(entries: DataFrame, p: Params) -> DataFrame:
     """recent and rate of each entry, with its slice of time."""
-    first = F.min("ts_sec").over(_slice_window().orderBy("ts_sec").rangeBetween(-p.rate_window, 0))
-    rows = _sliced(entries, p.rate_window).withColumns({"recent": _recent(p.rate_window), "_first": first}).filter("_own")
-    span = F.greatest(F.lit(1e-6), F.greatest(F.lit(1), F.col("ts_sec") - F.col("_first")) / 60)
-    return rows.withColumn("rate", F.when(F.col("recent") < 2, F.col("recent") * 60 / p.rate_window).otherwise(F.col("recent") / span)).drop("_first", "_own")
+    return _sliced(entries, p.rate_window).withColumns(_rate(p, _slice_window())).filter("_own").drop("_own")
+
+
+def _z(p: Params) -> Column:
+    return F.when((F.col("n") < p.z_min_events) | (F.coalesce("sigma", F.lit(0.0)) < 1e-9), 0.0).otherwise((F.col("rate") - F.col("mean")) / F.col("sigma"))
 
 
 def rates(entries: DataFrame, p: Params = Params()) -> DataFrame:
     """rate (events a minute), mean, sigma and z of rates so far, moving_average of the last rates, for each row.
 
-    Rows get their number within the source from their slice's counts; chunks of numbers, which overlap by the moving
-    average's rows, then carry the count, mean and squares of the chunks before them. No task sees a whole source.
+    A source of at most CHUNK rows is one group. If there is a larger one, rows get their number within the source from
+    their slice's counts; chunks of numbers, which overlap by the moving average's rows, then carry the count, mean and
+    squares of the chunks before them, so that no task sees a whole source.
     """
+    largest = entries.groupBy("source").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    if largest <= CHUNK:
+        order = Window.partitionBy("source").orderBy("ts_sec", "seq")
+        so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+        rows = entries.filter("source <> ''").withColumns(_rate(p, Window.partitionBy("source")))
+        rows = rows.withColumns({"n": F.count("*").over(so_far), "mean": F.avg("rate").over(so_far), "sigma": F.stddev_samp("rate").over(so_far), "moving_average": F.avg("rate").over(order.rowsBetween(1 - p.rate_average, 0))})
+        return rows.withColumn("z", _z(p))
     rows = _rates_alone(entries, p)
     sizes = _sliced(entries, p.rate_window).filter("_own").groupBy("source", "_slice").agg(F.count("*").alias("_rows"))
     upto = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,13 +102,13 @@ def rates(entries: DataFrame, p: Params = Params()) -> DataFrame:
     rows = rows.withColumn("_at", F.row_number().over(_slice_window().orderBy("ts_sec", "seq"))).join(sizes, ["source", "_slice"])
     rows = rows.withColumn("n", F.col("_at") + F.col("_before")).drop("_slice", "_at", "_before")
     part = F.floor((F.col("n") - 1) / CHUNK)
+    # one row for each chunk; squares are about the first chunk's mean, so that equal rates leave none
+    ends = rows.groupBy("source", part.alias("_chunk")).agg(F.count("*").alias("_n"), F.avg("rate").alias("_mean"), F.var_pop("rate").alias("_var"))
     late = (F.col("n") - 1) % CHUNK >= CHUNK - (p.rate_average - 1)
     rows = rows.withColumn("_chunk", F.explode(F.when(late, F.array(part, part + 1)).otherwise(F.array(part)))).withColumn("_own", F.col("_chunk") == part)
     order = Window.partitionBy("source", "_chunk").orderBy("n")
     so_far, own = order.rowsBetween(Window.unboundedPreceding, 0), F.when(F.col("_own"), F.col("rate"))
     rows = rows.withColumns({"_n": F.count(own).over(so_far), "_mean": F.avg(own).over(so_far), "_var": F.var_pop(own).over(so_far), "moving_average": F.avg("rate").over(order.rowsBetween(1 - p.rate_average, 0))}).filter("_own")
-    # one row for each chunk; squares are about the first chunk's mean, so that equal rates leave none
-    ends = rows.groupBy("source", "_chunk").agg(F.max_by(F.struct("_n", "_mean", "_var"), "n").alias("_e")).select("source", "_chunk", "_e.*")
     pivot = F.first("_mean").over(Window.partitionBy("source").orderBy("_chunk"))
     ends = ends.withColumn("_d", F.col("_mean") - pivot).withColumn("_pivot", pivot)
     back = Window.partitionBy("source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,8 +121,7 @@ def rates(entries: DataFrame, p: Params = Params()) -> DataFrame:
     mean = F.when(F.col("_cn") > 0, mean_before + gap * F.col("_n") / F.col("n")).otherwise(F.col("_mean"))
     squares = F.col("_var") * F.col("_n") + squares_before + F.coalesce(gap * gap * F.col("_cn") * F.col("_n") / F.col("n"), F.lit(0.0))
     rows = rows.withColumns({"mean": mean, "sigma": F.when(F.col("n") > 1, F.sqrt(squares / (F.col("n") - 1)))})
-    z = F.when((F.col("n") < p.z_min_events) | (F.coalesce("sigma", F.lit(0.0)) < 1e-9), 0.0).otherwise((F.col("rate") - F.col("mean")) / F.col("sigma"))
-    return rows.withColumn("z", z).select(*entries.columns, "recent", "rate", "n", "mean", "sigma", "moving_average", "z")
+    return rows.withColumn("z", _z(p)).select(*entries.columns, "recent", "rate", "n", "mean", "sigma", "moving_average", "z")
 
 
 def rate_outliers(entries: DataFrame, p: Params = Params()) -> DataFrame:
