@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from time import monotonic
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,3 +57,13 @@ def diff_seconds(start: Column, end: Column) -> Column:
 
 def in_window(ts: Column, start: Column, end: Column) -> Column:
     return (ts >= start) & (ts < end)
+
+
+@contextmanager
+def timed(name: str, told=print):
+    """Tells the milliseconds that the block took."""
+    start = monotonic()
+    try:
+        yield
+    finally:
+        told(f"{name}: {(monotonic() - start) * 1000:.0f} ms")

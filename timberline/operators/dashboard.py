@@ -84,6 +84,14 @@ def heatmap(series: DataFrame) -> DataFrame:
     return series.unpivot("minute", _NAMES, "level_name", "n")
 
 
+def minute_by_service(entries: DataFrame, k: int = 20) -> DataFrame:
+    """minute, and a column for each of the k busiest services with its events, 0 where there are none. The names of the k
+    come to the driver."""
+    best = [r["source"] for r in service_activity(entries, k).collect()]
+    rows = entries.filter(F.col("source").isin(best)).groupBy(minute(F.col("ts")).alias("minute"))
+    return rows.pivot("source", best).count().fillna(0) if best else rows.count().drop("count")
+
+
 def service_correlation(entries: DataFrame, k: int = 20) -> DataFrame:
     """Pearson correlation of per-minute counts for all pairs of the k busiest services. Sums of products come from
     minutes in which both occur; the rest follows from sums and the number of minutes."""

@@ -54,6 +54,13 @@ class RuleSet:
         self.rules[rule_id] = replace(rule, id=rule_id)
         return True
 
+    def get(self, rule_id: str) -> Rule | None:
+        return self.rules.get(rule_id)
+
+    def reload(self, settings: dict[str, str]) -> int:
+        """Only the rules of these settings (see load) from now on; how many."""
+        return self.load(settings, merge=False)
+
     def enable(self, rule_id: str, on: bool = True) -> bool:
         return rule_id in self.rules and self.update(rule_id, replace(self.rules[rule_id], enabled=on))
 
@@ -121,6 +128,13 @@ class RuleSet:
     def statistics(self, entries: DataFrame) -> DataFrame:
         return self.matches(entries).groupBy("rule_id").agg(F.count("*").alias("matches"))
 
+    def totals(self, entries: DataFrame) -> DataFrame:
+        """One row: rules that are on, entries checked, evaluations (each rule on each entry), matches, entries with one."""
+        on = len(self.ordered())
+        found = self.matches(entries).agg(F.count("*").alias("matches"), F.count_distinct("seq").alias("matched_entries"))
+        checked = entries.agg(F.count("*").alias("checked"))
+        return checked.crossJoin(found).select(F.lit(on).alias("rules"), "checked", (F.col("checked") * on).alias("evaluations"), "matches", "matched_entries")
+
 
 def with_event_counts(rows: DataFrame, seconds: int, name: str) -> DataFrame:
     """rows with how many events, this one included, came in the last seconds; later ones of the same second do not

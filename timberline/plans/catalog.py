@@ -97,6 +97,19 @@ def _gaps(column: str) -> str:
 SELECT minute, {column} FROM g UNION ALL SELECT before + INTERVAL 1 MINUTE, NULL FROM g WHERE epoch(minute) - epoch(before) > 300"""
 
 
+def _string_columns(entries):
+    return entries.select(
+        "seq",
+        tx.trim(F.concat(F.lit(" \t"), "message", F.lit("\n "))).alias("trimmed"),
+        tx.replace_all(F.col("message"), "user", "account").alias("replaced"),
+        tx.starts_with(F.col("message"), "ERR", False).alias("starts"),
+        tx.ends_with(F.col("message"), "1").alias("ends"),
+        F.size(tx.split_whitespace(F.col("message"))).cast("long").alias("words"),
+        tx.join(tx.split(F.col("message"), " "), "|").alias("joined"),
+        tx.escape_csv(F.concat("message", F.lit(',"x"'))).alias("csv"),
+    )
+
+
 def _text_columns(entries):
     word = F.get(tx.split_whitespace(F.col("message")), 2)
     return entries.select(
@@ -132,66 +145,247 @@ _RULES = (
 
 #: name -> (query, SQL or None)
 QUERIES = {
-    "log_entries": (lambda s, d: _entries(s, d).select("seq", "ts", "ts_sec", "level", "level_name", "source", "message"), f"{E} SELECT seq, ts, ts_sec, level, {_LEVEL_NAME} AS level_name, source, message FROM e"),
+    "log_entries": (
+        lambda s, d: _entries(s, d).select("seq", "ts", "ts_sec", "level", "level_name", "source", "message"),
+        f"{E} SELECT seq, ts, ts_sec, level, {_LEVEL_NAME} AS level_name, source, message FROM e",
+    ),
     "minute_rollup": (_series, f"{E}, {_SERIES} SELECT * FROM s"),
     "level_counts": (lambda s, d: ru.level_counts(_entries(s, d)), f"{E} SELECT level, count(*) AS n FROM e GROUP BY 1"),
-    "source_stats": (lambda s, d: ru.source_stats(_entries(s, d)), f"{E} SELECT source, count(*) AS total, count(*) FILTER (level IN (4, 5)) AS errors, count(*) FILTER (level = 3) AS warnings FROM e GROUP BY 1"),
-    "summary": (lambda s, d: ru.summary(_entries(s, d)), f"{E} SELECT min(ts) AS analysis_start, max(ts) AS analysis_end, count(*) AS total_events, count(*) FILTER (level IN (4, 5)) AS total_errors, count(*) FILTER (level = 3) AS total_warnings FROM e"),
+    "source_stats": (
+        lambda s, d: ru.source_stats(_entries(s, d)),
+        f"""{E}
+SELECT source, count(*) AS total, count(*) FILTER (level IN (4, 5)) AS errors, count(*) FILTER (level = 3) AS warnings FROM e
+GROUP BY 1""",
+    ),
+    "summary": (
+        lambda s, d: ru.summary(_entries(s, d)),
+        f"""{E}
+SELECT min(ts) AS analysis_start, max(ts) AS analysis_end, count(*) AS total_events, count(*) FILTER (level IN (4, 5)) AS total_errors, count(*) FILTER (level = 3) AS total_warnings
+FROM e""",
+    ),
     "message_hashes": (lambda s, d: ru.message_hashes(_entries(s, d)), f"{E} SELECT {_HASH} AS hash, count(*) AS n FROM e GROUP BY 1"),
-    "rare_messages": (lambda s, d: ru.rare_messages(_entries(s, d)), f"{E} SELECT {_HASH} AS hash, count(*) AS n FROM e GROUP BY 1 HAVING count(*) < 2"),
-    "source_spikes": (lambda s, d: _rounded(ru.source_spikes(_entries(s, d), Params(source_spike_multiplier=1.0)), "ratio"), f"{E}, c AS (SELECT source, count(*) AS n FROM e GROUP BY 1) SELECT source, n, round(n / (CASE WHEN n <= 10 THEN (n + 1) / 2.0 ELSE n - 4.5 END), 6) AS ratio FROM c WHERE n / (CASE WHEN n <= 10 THEN (n + 1) / 2.0 ELSE n - 4.5 END) > 1"),
-    "parse_lines": (lambda s, d: _parsed(s, d).select("seq", "was_json", "malformed", "error", "ts", "level", "source", "message"), f"{E}, {_LINES} SELECT seq, was_json, malformed, CASE WHEN malformed THEN 'No matching pattern' END AS error, CASE WHEN NOT malformed THEN ts END AS ts, CASE WHEN NOT malformed THEN level END AS level, CASE WHEN NOT malformed THEN source END AS source, CASE WHEN NOT malformed THEN message END AS message FROM l"),
-    "parse_counts": (lambda s, d: ru.parse_counts(_parsed(s, d)), f"{E}, {_LINES} SELECT count(*) FILTER (NOT malformed) AS parsed, count(*) FILTER (malformed) AS malformed FROM l"),
-    "malformed_by_minute": (lambda s, d: ru.malformed_by_minute(_parsed(s, d)), f"{E}, {_LINES}, m AS (SELECT malformed, last_value(CASE WHEN NOT malformed THEN {_M} END IGNORE NULLS) OVER (ORDER BY seq) AS carried FROM l) SELECT coalesce(carried, TIMESTAMP '1970-01-01') AS minute, count(*) AS malformed FROM m WHERE malformed GROUP BY 1"),
-    "spikes": (lambda s, d: _rounded(dx.spikes(_entries(s, d), WIDE).select("seq", "source", "short", "baseline", "ratio", "severity_score"), "ratio", "severity_score"), f"{E}, {_SPIKES} SELECT seq, source, short, baseline, round(ratio, 6) AS ratio, round(least(1.0, (ratio - 1) / 2), 6) AS severity_score FROM r WHERE ratio > 3 AND short >= 5 AND baseline >= 10"),
-    "spike_counts": (lambda s, d: dx.spike_counts(_entries(s, d), WIDE).select("seq", "short", "baseline"), f"{E}, {_SPIKES} SELECT seq, short, baseline FROM r"),
-    "spike_status": (lambda s, d: _rounded(dx.spike_status(_entries(s, d), WIDE), "ratio"), f"{E}, {_SPIKES} SELECT source, short, baseline, round(ratio, 6) AS ratio FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts_sec DESC, seq DESC) = 1"),
-    "rates": (lambda s, d: _rounded(dx.rates(_entries(s, d), WIDE).select("seq", "recent", "rate", "mean", "z", "moving_average"), "rate", "mean", "z", "moving_average"), f"{E}, {_RATES} SELECT seq, recent, round(rate, 6) AS rate, round(mean, 6) AS mean, round(z, 6) AS z, round(ma, 6) AS moving_average FROM z"),
-    "rate_outliers": (lambda s, d: _rounded(dx.rate_outliers(_entries(s, d), WIDE).select("seq", "source", "rate", "z"), "rate", "z"), f"{E}, {_RATES} SELECT seq, source, round(rate, 6) AS rate, round(z, 6) AS z FROM z WHERE abs(z) > 3"),
-    "rate_status": (lambda s, d: _rounded(dx.rate_status(_entries(s, d), WIDE, everywhere=True), "mean", "sigma"), f"{E}, {_RATES} SELECT source, count(*) AS n, round(avg(rate), 6) AS mean, round(stddev_samp(rate), 6) AS sigma FROM z GROUP BY ROLLUP (source)"),
-    "rare_ips": (lambda s, d: dx.rare_ips(_entries(s, d)).select("seq", "ip", "occurrence"), f"{E}, i AS (SELECT seq, regexp_extract(message, {_IP}) AS ip FROM e) SELECT seq, ip, row_number() OVER (PARTITION BY ip ORDER BY seq) AS occurrence FROM i WHERE ip <> '' QUALIFY occurrence <= 5"),
-    "tumbling": (lambda s, d: _rounded(dx.tumbling(_entries(s, d), WIDE), "error_rate"), f"{E}, {_WINDOWS} SELECT idx, start_sec, total, errors, round(error_rate, 6) AS error_rate FROM u"),
-    "tumbling_sources": (lambda s, d: dx.tumbling_sources(_entries(s, d), WIDE).select("idx", F.explode("events_by_source").alias("source", "n")), f"{E}, {_WINDOWS} SELECT idx, source, count(*) AS n FROM k WHERE idx >= reached AND idx >= (SELECT max(idx) FROM t) - 200 GROUP BY 1, 2"),
-    "window_anomalies": (lambda s, d: dx.window_anomalies(_entries(s, d), WIDE).select("idx", "kind", F.round("score", 6).alias("score")), f"{E}, {_WINDOWS} SELECT idx, 'error_spike' AS kind, round(least(1.0, error_rate * 2), 6) AS score FROM u WHERE error_rate > 0.4 UNION ALL SELECT idx, 'event_burst', 1.0 FROM u WHERE total > 20"),
-    "silences": (lambda s, d: dx.silences(_entries(s, d), WIDE), f"{E}, g AS (SELECT ts_sec, lag(ts_sec) OVER (ORDER BY ts_sec) AS before FROM (SELECT DISTINCT ts_sec FROM e)) SELECT before, ts_sec, ts_sec - before AS silent FROM g WHERE ts_sec - before > 600"),
+    "rare_messages": (
+        lambda s, d: ru.rare_messages(_entries(s, d)),
+        f"{E} SELECT {_HASH} AS hash, count(*) AS n FROM e GROUP BY 1 HAVING count(*) < 2",
+    ),
+    "source_spikes": (
+        lambda s, d: _rounded(ru.source_spikes(_entries(s, d), Params(source_spike_multiplier=1.0)), "ratio"),
+        f"""{E},
+c AS (SELECT source, count(*) AS n FROM e GROUP BY 1)
+SELECT source, n, round(n / (CASE WHEN n <= 10 THEN (n + 1) / 2.0 ELSE n - 4.5 END), 6) AS ratio FROM c
+WHERE n / (CASE WHEN n <= 10 THEN (n + 1) / 2.0 ELSE n - 4.5 END) > 1""",
+    ),
+    "parse_lines": (
+        lambda s, d: _parsed(s, d).select("seq", "was_json", "malformed", "error", "ts", "level", "source", "message"),
+        f"""{E}, {_LINES} SELECT seq, was_json, malformed, CASE WHEN malformed THEN 'No matching pattern' END AS error, CASE WHEN NOT malformed THEN ts END AS ts, CASE WHEN NOT malformed THEN level END AS level, CASE WHEN NOT malformed THEN source END AS source, CASE WHEN NOT malformed THEN message END AS message
+FROM l""",
+    ),
+    "parse_counts": (
+        lambda s, d: ru.parse_counts(_parsed(s, d)),
+        f"""{E}, {_LINES} SELECT count(*) FILTER (NOT malformed) AS parsed, count(*) FILTER (malformed) AS malformed FROM l""",
+    ),
+    "malformed_by_minute": (
+        lambda s, d: ru.malformed_by_minute(_parsed(s, d)),
+        f"""{E}, {_LINES},
+m AS (SELECT malformed, last_value(CASE WHEN NOT malformed THEN {_M} END IGNORE NULLS) OVER (ORDER BY seq) AS carried FROM l)
+SELECT coalesce(carried, TIMESTAMP '1970-01-01') AS minute, count(*) AS malformed FROM m WHERE malformed GROUP BY 1""",
+    ),
+    "spikes": (
+        lambda s, d: _rounded(dx.spikes(_entries(s, d), WIDE).select("seq", "source", "short", "baseline", "ratio", "severity_score"), "ratio", "severity_score"),
+        f"""{E}, {_SPIKES} SELECT seq, source, short, baseline, round(ratio, 6) AS ratio, round(least(1.0, (ratio - 1) / 2), 6) AS severity_score
+FROM r WHERE ratio > 3 AND short >= 5 AND baseline >= 10""",
+    ),
+    "spike_counts": (
+        lambda s, d: dx.spike_counts(_entries(s, d), WIDE).select("seq", "short", "baseline"),
+        f"{E}, {_SPIKES} SELECT seq, short, baseline FROM r",
+    ),
+    "spike_status": (
+        lambda s, d: _rounded(dx.spike_status(_entries(s, d), WIDE), "ratio"),
+        f"""{E}, {_SPIKES} SELECT source, short, baseline, round(ratio, 6) AS ratio FROM r QUALIFY row_number() OVER (PARTITION BY source
+ORDER BY ts_sec DESC, seq DESC) = 1""",
+    ),
+    "rates": (
+        lambda s, d: _rounded(dx.rates(_entries(s, d), WIDE).select("seq", "recent", "rate", "mean", "z", "moving_average"), "rate", "mean", "z", "moving_average"),
+        f"""{E}, {_RATES} SELECT seq, recent, round(rate, 6) AS rate, round(mean, 6) AS mean, round(z, 6) AS z, round(ma, 6) AS moving_average
+FROM z""",
+    ),
+    "rate_outliers": (
+        lambda s, d: _rounded(dx.rate_outliers(_entries(s, d), WIDE).select("seq", "source", "rate", "z"), "rate", "z"),
+        f"{E}, {_RATES} SELECT seq, source, round(rate, 6) AS rate, round(z, 6) AS z FROM z WHERE abs(z) > 3",
+    ),
+    "rate_status": (
+        lambda s, d: _rounded(dx.rate_status(_entries(s, d), WIDE, everywhere=True), "mean", "sigma"),
+        f"""{E}, {_RATES} SELECT source, count(*) AS n, round(avg(rate), 6) AS mean, round(stddev_samp(rate), 6) AS sigma FROM z
+GROUP BY ROLLUP (source)""",
+    ),
+    "rare_ips": (
+        lambda s, d: dx.rare_ips(_entries(s, d)).select("seq", "ip", "occurrence"),
+        f"""{E},
+i AS (SELECT seq, regexp_extract(message, {_IP}) AS ip FROM e)
+SELECT seq, ip, row_number() OVER (PARTITION BY ip ORDER BY seq) AS occurrence FROM i WHERE ip <> '' QUALIFY occurrence <= 5""",
+    ),
+    "tumbling": (
+        lambda s, d: _rounded(dx.tumbling(_entries(s, d), WIDE), "error_rate"),
+        f"{E}, {_WINDOWS} SELECT idx, start_sec, total, errors, round(error_rate, 6) AS error_rate FROM u",
+    ),
+    "tumbling_sources": (
+        lambda s, d: dx.tumbling_sources(_entries(s, d), WIDE).select("idx", F.explode("events_by_source").alias("source", "n")),
+        f"""{E}, {_WINDOWS} SELECT idx, source, count(*) AS n FROM k WHERE idx >= reached AND idx >= (SELECT max(idx) FROM t) - 200
+GROUP BY 1, 2""",
+    ),
+    "window_anomalies": (
+        lambda s, d: dx.window_anomalies(_entries(s, d), WIDE).select("idx", "kind", F.round("score", 6).alias("score")),
+        f"""{E}, {_WINDOWS} SELECT idx, 'error_spike' AS kind, round(least(1.0, error_rate * 2), 6) AS score FROM u WHERE error_rate > 0.4
+UNION ALL SELECT idx, 'event_burst', 1.0 FROM u WHERE total > 20""",
+    ),
+    "silences": (
+        lambda s, d: dx.silences(_entries(s, d), WIDE),
+        f"""{E},
+g AS (SELECT ts_sec, lag(ts_sec) OVER (ORDER BY ts_sec) AS before FROM (SELECT DISTINCT ts_sec FROM e))
+SELECT before, ts_sec, ts_sec - before AS silent FROM g WHERE ts_sec - before > 600""",
+    ),
     "ngrams": (lambda s, d: ng.ngram_counts(_entries(s, d), Params(ngram_window=4)), f"{E}, {_NGRAMS} SELECT * FROM g"),
     "ngrams_whole_window": (lambda s, d: ng.ngram_counts(_entries(s, d)), None),
-    "rule_matches": (lambda s, d: RuleSet(_RULES).matches(_entries(s, d)).select("seq", "rule_id", "score", "priority"), f"""{E}, n AS (SELECT *, row_number() OVER (PARTITION BY ts_sec ORDER BY seq) + coalesce(count(*) OVER (ORDER BY ts_sec RANGE BETWEEN 7200 PRECEDING AND 1 PRECEDING), 0) AS seen FROM e)
-SELECT seq, 'errors' AS rule_id, 0.7 AS score, 'CRITICAL' AS priority FROM n WHERE level = 4 UNION ALL SELECT seq, 'purchases', 0.9, 'HIGH' FROM n WHERE contains(upper(message), 'PURCHASE') UNION ALL SELECT seq, 'busy', 0.6, 'MEDIUM' FROM n WHERE least(seen, 1000) >= 40 UNION ALL SELECT seq, 'one', 0.5, 'LOW' FROM n WHERE lower(source) = 'svc-3'"""),
-    "rule_statistics": (lambda s, d: RuleSet(_RULES[:3]).statistics(_entries(s, d)), f"{E} SELECT 'errors' AS rule_id, count(*) AS matches FROM e WHERE level = 4 UNION ALL SELECT 'purchases', count(*) FROM e WHERE contains(message, 'purchase') UNION ALL SELECT 'one', count(*) FROM e WHERE source = 'svc-3'"),
+    "rule_matches": (
+        lambda s, d: RuleSet(_RULES).matches(_entries(s, d)).select("seq", "rule_id", "score", "priority"),
+        f"""{E}, n AS (SELECT *, row_number() OVER (PARTITION BY ts_sec ORDER BY seq) + coalesce(count(*) OVER (ORDER BY ts_sec RANGE BETWEEN 7200 PRECEDING AND 1 PRECEDING), 0) AS seen FROM e)
+SELECT seq, 'errors' AS rule_id, 0.7 AS score, 'CRITICAL' AS priority FROM n WHERE level = 4 UNION ALL SELECT seq, 'purchases', 0.9, 'HIGH' FROM n WHERE contains(upper(message), 'PURCHASE') UNION ALL SELECT seq, 'busy', 0.6, 'MEDIUM' FROM n WHERE least(seen, 1000) >= 40 UNION ALL SELECT seq, 'one', 0.5, 'LOW' FROM n WHERE lower(source) = 'svc-3'""",
+    ),
+    "rule_statistics": (
+        lambda s, d: RuleSet(_RULES[:3]).statistics(_entries(s, d)),
+        f"""{E}
+SELECT 'errors' AS rule_id, count(*) AS matches FROM e WHERE level = 4 UNION ALL SELECT 'purchases', count(*) FROM e
+WHERE contains(message, 'purchase') UNION ALL SELECT 'one', count(*) FROM e WHERE source = 'svc-3'""",
+    ),
     "g01_log_volume": (lambda s, d: db.log_volume(_dash(s, d), WIDE), _gaps("total")),
     "g02_error_rate": (lambda s, d: db.error_rate(_dash(s, d), WIDE), _gaps("error")),
     "g03_level_areas": (lambda s, d: db.level_areas(_dash(s, d)), f"{E}, {_DASH} SELECT minute, {', '.join(_NAMES)} FROM s"),
-    "g04_moving_average": (lambda s, d: _rounded(db.moving_average(_dash(s, d)), "moving_average"), f"{E}, {_DASH} SELECT minute, total, round(avg(total) OVER (ORDER BY minute ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS moving_average FROM s"),
-    "g05_zscores": (lambda s, d: _rounded(db.zscores(_dash(s, d)), "z"), f"{E}, {_DASH}, o AS (SELECT avg(total) AS mu, stddev_pop(total) AS sigma FROM s) SELECT minute, total, round((total - mu) / sigma, 6) AS z, abs((total - mu) / sigma) >= 3 AS breach FROM s, o"),
-    "g06_level_distribution": (lambda s, d: db.level_distribution(_entries(s, d)), f"{E} SELECT {_LEVEL_NAME} AS level_name, count(*) AS n FROM e GROUP BY 1"),
-    "g06_level_totals": (lambda s, d: db.level_totals(_series(s, d)), f"{E}, {_SERIES}, t AS (SELECT " + ", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in _NAMES) + " FROM s) " + " UNION ALL ".join(f"SELECT '{n.upper()}' AS level_name, {n} AS n FROM t" for n in _NAMES)),
-    "g07_service_activity": (lambda s, d: db.service_activity(_entries(s, d)), f"{E} SELECT source, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, source LIMIT 15"),
-    "g08_top_errors": (lambda s, d: db.top_errors(_entries(s, d)), f"{E} SELECT " + r"trim(regexp_replace(regexp_replace(message, '\b\d+\b', '0', 'g'), '\s+', ' ', 'g'))" + " AS message, count(*) AS n FROM e WHERE level IN (4, 5) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10"),
-    "g09_top_ips": (lambda s, d: db.top_ips(_entries(s, d)), f"{E} SELECT ip, count(*) AS n FROM (SELECT unnest(regexp_extract_all(message || ' ' || source, {_IP})) AS ip FROM e) GROUP BY 1 ORDER BY n DESC, ip LIMIT 15"),
-    "g10_heatmap": (lambda s, d: db.heatmap(_dash(s, d)), f"{E}, {_DASH} " + " UNION ALL ".join(f"SELECT minute, '{n}' AS level_name, {n} AS n FROM s" for n in _NAMES)),
-    "g11_service_correlation": (lambda s, d: _rounded(db.service_correlation(_entries(s, d)), "correlation"), f"{E}, m AS (SELECT DISTINCT {_M} AS minute FROM e), v AS (SELECT DISTINCT source FROM e), g AS (SELECT m.minute, v.source, coalesce(n, 0) AS n FROM m CROSS JOIN v LEFT JOIN (SELECT {_M} AS minute, source, count(*) AS n FROM e GROUP BY 1, 2) c ON c.minute = m.minute AND c.source = v.source) SELECT x.source AS a, y.source AS b, round(corr(x.n, y.n), 6) AS correlation FROM g x JOIN g y USING (minute) GROUP BY 1, 2"),
-    "g12_minute_features": (lambda s, d: db.minute_features(_entries(s, d)), f"{E}, {_DASH}, q AS (SELECT {_M} AS minute, count(DISTINCT source) AS unique_sources, count(DISTINCT regexp_extract(message, {_IP})) AS unique_ips FROM e GROUP BY 1) SELECT * FROM s JOIN q USING (minute)"),
+    "g04_moving_average": (
+        lambda s, d: _rounded(db.moving_average(_dash(s, d)), "moving_average"),
+        f"""{E}, {_DASH} SELECT minute, total, round(avg(total) OVER (ORDER BY minute ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS moving_average
+FROM s""",
+    ),
+    "g05_zscores": (
+        lambda s, d: _rounded(db.zscores(_dash(s, d)), "z"),
+        f"""{E}, {_DASH},
+o AS (SELECT avg(total) AS mu, stddev_pop(total) AS sigma FROM s)
+SELECT minute, total, round((total - mu) / sigma, 6) AS z, abs((total - mu) / sigma) >= 3 AS breach FROM s, o""",
+    ),
+    "g06_level_distribution": (
+        lambda s, d: db.level_distribution(_entries(s, d)),
+        f"{E} SELECT {_LEVEL_NAME} AS level_name, count(*) AS n FROM e GROUP BY 1",
+    ),
+    "g06_level_totals": (
+        lambda s, d: db.level_totals(_series(s, d)),
+        f"{E}, {_SERIES}, t AS (SELECT " + ", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in _NAMES) + " FROM s) " + " UNION ALL ".join(f"SELECT '{n.upper()}' AS level_name, {n} AS n FROM t" for n in _NAMES),
+    ),
+    "g07_service_activity": (
+        lambda s, d: db.service_activity(_entries(s, d)),
+        f"{E} SELECT source, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, source LIMIT 15",
+    ),
+    "g08_top_errors": (
+        lambda s, d: db.top_errors(_entries(s, d)),
+        f"{E} SELECT " + r"trim(regexp_replace(regexp_replace(message, '\b\d+\b', '0', 'g'), '\s+', ' ', 'g'))" + " AS message, count(*) AS n FROM e WHERE level IN (4, 5) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10",
+    ),
+    "g09_top_ips": (
+        lambda s, d: db.top_ips(_entries(s, d)),
+        f"""{E}
+SELECT ip, count(*) AS n FROM (SELECT unnest(regexp_extract_all(message || ' ' || source, {_IP})) AS ip FROM e) GROUP BY 1
+ORDER BY n DESC, ip LIMIT 15""",
+    ),
+    "g10_heatmap": (
+        lambda s, d: db.heatmap(_dash(s, d)),
+        f"{E}, {_DASH} " + " UNION ALL ".join(f"SELECT minute, '{n}' AS level_name, {n} AS n FROM s" for n in _NAMES),
+    ),
+    "g11_service_correlation": (
+        lambda s, d: _rounded(db.service_correlation(_entries(s, d)), "correlation"),
+        f"""{E},
+m AS (SELECT DISTINCT {_M} AS minute FROM e),
+v AS (SELECT DISTINCT source FROM e),
+g AS (SELECT m.minute, v.source, coalesce(n, 0) AS n FROM m CROSS JOIN v LEFT JOIN (SELECT {_M} AS minute, source, count(*) AS n
+FROM e GROUP BY 1, 2) c ON c.minute = m.minute AND c.source = v.source)
+SELECT x.source AS a, y.source AS b, round(corr(x.n, y.n), 6) AS correlation FROM g x JOIN g y USING (minute) GROUP BY 1, 2""",
+    ),
+    "minute_by_service": (
+        lambda s, d: db.minute_by_service(_entries(s, d)),
+        f"{E} SELECT {_M} AS minute, " + ", ".join(f"count(*) FILTER (source = 'svc-{k}') AS \"svc-{k}\"" for k in range(8)) + " FROM e GROUP BY 1",
+    ),
+    "rule_totals": (
+        lambda s, d: RuleSet(_RULES[:3]).totals(_entries(s, d)),
+        f"""{E},
+m AS (SELECT seq FROM e WHERE level = 4 UNION ALL SELECT seq FROM e WHERE contains(message, 'purchase') UNION ALL SELECT seq
+FROM e WHERE source = 'svc-3')
+SELECT 3 AS rules, (SELECT count(*) FROM e) AS checked, (SELECT count(*) * 3
+FROM e) AS evaluations, count(*) AS matches, count(DISTINCT seq) AS matched_entries FROM m""",
+    ),
+    "g12_minute_features": (
+        lambda s, d: db.minute_features(_entries(s, d)),
+        f"""{E}, {_DASH},
+q AS (SELECT {_M} AS minute, count(DISTINCT source) AS unique_sources, count(DISTINCT regexp_extract(message, {_IP})) AS unique_ips
+FROM e GROUP BY 1)
+SELECT * FROM s JOIN q USING (minute)""",
+    ),
     "g12_isolation_forest": (lambda s, d: db.isolation_forest(_entries(s, d)), None),
     "drop_partial_minute": (lambda s, d: _dash(s, d).select("minute", "total"), f"{E}, {_DASH} SELECT minute, total FROM s"),
-    "bursts": (lambda s, d: _joined(dx.bursts(_entries(s, d), WIDE), "samples"), f"{_BURSTS} SELECT seq, ts_sec, source, signature, n, first_sec, last_sec, samples FROM b"),
-    "burst_signatures": (lambda s, d: _entries(s, d).groupBy(tx.burst_signature(F.col("source"), F.col("level"), F.col("message")).alias("signature")).agg(F.count("*").alias("n")), f"{E} SELECT source || '|' || level || '|' || {_NORMAL} AS signature, count(*) AS n FROM e GROUP BY 1"),
-    "online_anomalies": (lambda s, d: dx.online_anomalies(_entries(s, d), WIDE).withColumn("score", F.round("score", 6)), _ONLINE + " SELECT seq, step, detector, type, severity, round(score, 6) AS score, source, window_start, window_end, description FROM online"),
+    "bursts": (
+        lambda s, d: _joined(dx.bursts(_entries(s, d), WIDE), "samples"),
+        f"{_BURSTS} SELECT seq, ts_sec, source, signature, n, first_sec, last_sec, samples FROM b",
+    ),
+    "burst_signatures": (
+        lambda s, d: _entries(s, d).groupBy(tx.burst_signature(F.col("source"), F.col("level"), F.col("message")).alias("signature")).agg(F.count("*").alias("n")),
+        f"{E} SELECT source || '|' || level || '|' || {_NORMAL} AS signature, count(*) AS n FROM e GROUP BY 1",
+    ),
+    "online_anomalies": (
+        lambda s, d: dx.online_anomalies(_entries(s, d), WIDE).withColumn("score", F.round("score", 6)),
+        _ONLINE + " SELECT seq, step, detector, type, severity, round(score, 6) AS score, source, window_start, window_end, description FROM online",
+    ),
     "all_anomalies": (lambda s, d: _all_anomalies(s, d).withColumn("score", F.round("score", 6)), None),
     "ngram_summary": (lambda s, d: ng.ngram_summary(ng.ngram_counts(_entries(s, d))), None),
     "ngram_novelties": (lambda s, d: ng.ngram_novelties(ng.ngram_counts(_entries(s, d))), None),
-    "top_patterns": (lambda s, d: ng.top_patterns(ng.ngram_counts(_entries(s, d), Params(ngram_window=4))), f"{E}, {_NGRAMS} SELECT pattern, length, freq FROM g ORDER BY freq DESC, pattern LIMIT 10"),
-    "ngram_examples": (lambda s, d: _joined(ng.ngram_examples(_entries(s, d), ng.top_patterns(ng.ngram_counts(_entries(s, d), Params(ngram_window=4))), Params(ngram_window=4)), "examples"), None),
-    "top_anomalies": (lambda s, d: dx.ranked(_all_anomalies(s, d)).select("seq", "detector", "severity", F.round("score", 6).alias("score"), "window_start", "window_end"), None),
-    "anomalies_by_minute": (lambda s, d: dx.anomalies_by_minute(dx.online_anomalies(_entries(s, d), WIDE)), _ONLINE + " SELECT date_trunc('minute', to_timestamp(window_end) AT TIME ZONE 'UTC') AS minute, count(*) AS anomalies FROM online GROUP BY 1"),
-    "top_online_anomalies": (lambda s, d: dx.ranked(dx.online_anomalies(_entries(s, d), WIDE)).withColumn("score", F.round("score", 6)).drop("step", "type"), _ONLINE + " SELECT seq, detector, severity, round(score, 6) AS score, source, window_start, window_end, description FROM online ORDER BY severity DESC, online.score DESC, window_end DESC, description, seq, detector LIMIT 100"),
-    "level_counts_with_anomalies": (lambda s, d: ru.level_counts_with_anomalies(_entries(s, d), dx.online_anomalies(_entries(s, d), WIDE)), _ONLINE + ", h AS (SELECT seq, count(*) AS hits FROM online GROUP BY 1) SELECT level, count(*) AS n, CAST(coalesce(sum(hits), 0) AS BIGINT) AS anomalies FROM e LEFT JOIN h USING (seq) GROUP BY 1"),
-    "document_ips": (lambda s, d: ru.ip_counts(s.read.parquet(f"{d}/documents.parquet").select(F.col("text").alias("message"), "source")), f"SELECT ip, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || ' ' || source, {_IP})) AS ip FROM documents) GROUP BY 1"),
-    "string_functions": (lambda s, d: _entries(s, d).select("seq", tx.trim(F.concat(F.lit(" \t"), "message", F.lit("\n "))).alias("trimmed"), tx.replace_all(F.col("message"), "user", "account").alias("replaced"), tx.starts_with(F.col("message"), "ERR", False).alias("starts"), tx.ends_with(F.col("message"), "1").alias("ends"), F.size(tx.split_whitespace(F.col("message"))).cast("long").alias("words"), tx.join(tx.split(F.col("message"), " "), "|").alias("joined"), tx.escape_csv(F.concat("message", F.lit(',"x"'))).alias("csv")), f"""{E} SELECT seq, message AS trimmed, replace(message, 'user', 'account') AS replaced, starts_with(lower(message), 'err') AS starts, ends_with(message, '1') AS ends, CAST(len(string_split(message, ' ')) AS BIGINT) AS words, replace(message, ' ', '|') AS joined, '"' || message || ',""x""' || '"' AS csv FROM e"""),
-    "more_string_functions": (lambda s, d: _text_columns(_entries(s, d)), f"""{E}, w AS (SELECT *, string_split(message, ' ')[3] AS word FROM e)
+    "top_patterns": (
+        lambda s, d: ng.top_patterns(ng.ngram_counts(_entries(s, d), Params(ngram_window=4))),
+        f"{E}, {_NGRAMS} SELECT pattern, length, freq FROM g ORDER BY freq DESC, pattern LIMIT 10",
+    ),
+    "ngram_examples": (
+        lambda s, d: _joined(ng.ngram_examples(_entries(s, d), ng.top_patterns(ng.ngram_counts(_entries(s, d), Params(ngram_window=4))), Params(ngram_window=4)), "examples"),
+        None,
+    ),
+    "top_anomalies": (
+        lambda s, d: dx.ranked(_all_anomalies(s, d)).select("seq", "detector", "severity", F.round("score", 6).alias("score"), "window_start", "window_end"),
+        None,
+    ),
+    "anomalies_by_minute": (
+        lambda s, d: dx.anomalies_by_minute(dx.online_anomalies(_entries(s, d), WIDE)),
+        _ONLINE + " SELECT date_trunc('minute', to_timestamp(window_end) AT TIME ZONE 'UTC') AS minute, count(*) AS anomalies FROM online GROUP BY 1",
+    ),
+    "top_online_anomalies": (
+        lambda s, d: dx.ranked(dx.online_anomalies(_entries(s, d), WIDE)).withColumn("score", F.round("score", 6)).drop("step", "type"),
+        _ONLINE + " SELECT seq, detector, severity, round(score, 6) AS score, source, window_start, window_end, description FROM online ORDER BY severity DESC, online.score DESC, window_end DESC, description, seq, detector LIMIT 100",
+    ),
+    "level_counts_with_anomalies": (
+        lambda s, d: ru.level_counts_with_anomalies(_entries(s, d), dx.online_anomalies(_entries(s, d), WIDE)),
+        _ONLINE + ", h AS (SELECT seq, count(*) AS hits FROM online GROUP BY 1) SELECT level, count(*) AS n, CAST(coalesce(sum(hits), 0) AS BIGINT) AS anomalies FROM e LEFT JOIN h USING (seq) GROUP BY 1",
+    ),
+    "document_ips": (
+        lambda s, d: ru.ip_counts(s.read.parquet(f"{d}/documents.parquet").select(F.col("text").alias("message"), "source")),
+        f"""SELECT ip, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || ' ' || source, {_IP})) AS ip FROM documents) GROUP BY 1""",
+    ),
+    "string_functions": (
+        lambda s, d: _string_columns(_entries(s, d)),
+        f"""{E} SELECT seq, message AS trimmed, replace(message, 'user', 'account') AS replaced, starts_with(lower(message), 'err') AS starts, ends_with(message, '1') AS ends, CAST(len(string_split(message, ' ')) AS BIGINT) AS words, replace(message, ' ', '|') AS joined, '"' || message || ',""x""' || '"' AS csv FROM e""",
+    ),
+    "more_string_functions": (
+        lambda s, d: _text_columns(_entries(s, d)),
+        f"""{E}, w AS (SELECT *, string_split(message, ' ')[3] AS word FROM e)
 SELECT seq, message AS left_trimmed, message AS right_trimmed, true AS same, source || '|' || message AS pieces, CAST(word AS BIGINT) AS number, CAST(word AS DOUBLE) + 0.5 AS fraction, NULL::BIGINT AS no_number,
-message || '\\"\\n' AS json, CASE WHEN length(message) > 12 THEN substr(message, 1, 11) || '…' ELSE message END AS title, source || ':' || level || ':' || substr(array_to_string(string_split(message, ' ')[1:3], ' '), 1, 20) AS token FROM w"""),
-    "time_functions": (lambda s, d: _entries(s, d).select("seq", dt.iso8601(F.col("ts")).alias("iso"), dt.parse_seconds(dt.iso8601(F.col("ts"))).alias("parsed"), dt.millis(F.col("ts")).alias("millis"), dt.minute(F.col("ts")).alias("minute"), dt.in_window(F.col("ts"), dt.minute(F.col("ts")), F.col("ts")).alias("inside")), f"{E} SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, ts_sec AS parsed, ts_sec * 1000 AS millis, {_M} AS minute, false AS inside FROM e"),
+message || '\\"\\n' AS json, CASE WHEN length(message) > 12 THEN substr(message, 1, 11) || '…' ELSE message END AS title, source || ':' || level || ':' || substr(array_to_string(string_split(message, ' ')[1:3], ' '), 1, 20) AS token FROM w""",
+    ),
+    "time_functions": (
+        lambda s, d: _entries(s, d).select("seq", dt.iso8601(F.col("ts")).alias("iso"), dt.parse_seconds(dt.iso8601(F.col("ts"))).alias("parsed"), dt.millis(F.col("ts")).alias("millis"), dt.minute(F.col("ts")).alias("minute"), dt.in_window(F.col("ts"), dt.minute(F.col("ts")), F.col("ts")).alias("inside")),
+        f"""{E}
+SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, ts_sec AS parsed, ts_sec * 1000 AS millis, {_M} AS minute, false AS inside
+FROM e""",
+    ),
 }
 
 
