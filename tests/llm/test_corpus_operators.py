@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -361,6 +362,40 @@ def test_op5_edges(spark, texts):
     assert jaccard_join.near_duplicates(empty(spark)).count() == 0
 
 
+def _rows_of_joins(spark, since, keys):
+    """Rows that the inner joins on these keys made in the queries since that one, by Spark's own counts."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for k in range(since, runs.size()):
+        at = runs.apply(k).executionId()
+        nodes, values = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and f"{keys}, Inner" in re.sub(r"#\d+L?", "", node.desc()):
+                counts = [m.accumulatorId() for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows"]
+                total += sum(int(values.apply(c).replace(",", "")) for c in counts if values.contains(c))
+    return total
+
+
+def test_op5_signatures_meet_a_set_once(spark):
+    """A large group of near copies whose sets are on many paths: each level's join makes a row for a set, not for a path."""
+    rng = random.Random(21)
+    base, rows = [f"w{k}" for k in range(90)], []
+    for k in range(240):
+        copy = list(base)
+        for at in rng.sample(range(90), 2):
+            copy[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(copy)))
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.near_duplicates(docs_of(spark, rows), small=20).collect()}
+    sets = {i: _grams(t) for i, t in rows}
+    want = {a: sum(b != a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    assert got == want and max(want.values()) > 0
+    made = _rows_of_joins(spark, since, "[rep], [rep]")
+    # two levels that split, one comparison, the classes' least ids
+    assert 240 < made <= 4 * 240, made
+
+
 def test_op5_texts_that_share_an_id(spark):
     rng = random.Random(9)
     text = lambda: [f"w{rng.randint(0, 5000)}" for _ in range(100)]

@@ -104,16 +104,23 @@ def _start(roots: list[tuple[int, int]]):
     return run
 
 
+def _with_paths(rows: DataFrame, signatures: DataFrame) -> DataFrame:
+    """rep, the paths of its rows, sig: a row for each set, however many paths it is on. A set meets its signature once
+    instead of once for each path."""
+    return rows.groupBy("rep").agg(F.collect_set("path").alias("paths")).join(signatures, "rep").select("rep", "paths", "sig")
+
+
 def _split(threshold: float):
     bound, picks = U(int(2**64 / (threshold * SIZE))), _splitmix(41, SIZE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path, reps, sig = batch.column(0).to_numpy().view(U), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            path, reps, sig = batch.column(1).flatten().to_numpy().view(U), batch.column(0).to_numpy(), _matrix(batch.column(2))
+            row = np.repeat(np.arange(len(reps)), batch.column(1).value_lengths().to_numpy())
             for i in range(SIZE):
                 at = np.flatnonzero(mix(path ^ picks[i]) < bound)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(_path(path[at], i, sig[at, i]).view(np.int64)), pa.array(reps[at])], ["path", "rep"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_path(path[at], i, sig[row[at], i]).view(np.int64)), pa.array(reps[row[at]])], ["path", "rep"])
 
     return run
 
@@ -256,14 +263,15 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, threshold: float
         held = written(rows.join(sizes, "path"), "paths")
         buckets.append(held if level == depth else held.filter(F.col("held") <= small))
         if level < depth:
-            rows = held.filter(F.col("held") > small).join(signatures, "rep").select("path", "rep", "sig").mapInArrow(_split(threshold), "path long, rep long")
+            # written, as their counts and they themselves are read: else large buckets are split twice
+            rows = written(_with_paths(held.filter(F.col("held") > small), signatures).mapInArrow(_split(threshold), "path long, rep long"), "split")
     every = buckets[0]
     for more in buckets[1:]:
         every = every.union(more)
     # the same sets meet in many runs: one bucket of them is enough
     once = every.groupBy("held", "members").agg(F.min("path").alias("path")).select("path")
     least = math.ceil(SIZE * (threshold - 3.3 * math.sqrt(threshold * (1 - threshold) / SIZE)))
-    compared = every.join(once, "path", "left_semi").select("path", "rep").distinct().join(signatures, "rep")
+    compared = _with_paths(every.join(once, "path", "left_semi"), signatures).select(F.explode("paths").alias("path"), "rep", "sig")
     groups = written(components(compared.groupBy("path").applyInArrow(_alike(least), "a long, b long")), "groups")
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
